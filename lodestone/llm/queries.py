@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import language, near_dedup, pieces
 
 QUERIES = {
+    "op3_language_id": language.op3_language_id,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 SQL = {
