@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, near_dedup, pieces
+from . import language, near_dedup, pieces, secrets, toxicity
 
 QUERIES = {
+    "op2_secret_scans": secrets.op2_secret_scans,
     "op3_language_id": language.op3_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 SQL = {
