@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -147,21 +148,21 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA)
 
 
-@F.pandas_udf("string")
+def clean(t: str | None) -> str | None:
+    """The text with its secrets replaced by [kind]; overlapping spans count as the first. Null stays null."""
+    if t is None:
+        return None
+    out, at = [], 0
+    for kind, a, b in spans(t):
+        if a >= at:
+            out += [t[at:a], f"[{kind}]"]
+        at = max(at, b)
+    return "".join([*out, t[at:]]) if out else t
+
+
 def redact(text):
-    """Each text with its secrets replaced by [kind]; overlapping spans count as the first. Null stays null."""
-
-    def one(t):
-        if t is None:
-            return None
-        out, at = [], 0
-        for kind, a, b in spans(t):
-            if a >= at:
-                out += [t[at:a], f"[{kind}]"]
-            at = max(at, b)
-        return "".join([*out, t[at:]]) if out else t
-
-    return text.map(one, na_action="ignore")
+    """Column of texts with their secrets replaced; Arrow batches."""
+    return F.pandas_udf(lambda s: s.map(clean, na_action="ignore"), T.StringType())(text)
 
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
