@@ -124,10 +124,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each text: starts, ends (in data) and the n + 1 word offsets of the texts."""
+#: Separators of the words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of lower-cased text.
+PLAIN = np.ones(256, bool)
+PLAIN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
+
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (by default [^\\x20\\x09-\\x0D]+) of each text: starts, ends (in data) and the n + 1 word offsets of the texts."""
     gap = np.ones(len(data) + 1, bool)
-    gap[:-1] = SPACE[data]
+    gap[:-1] = between[data]
     begin = np.zeros(len(data) + 1, bool)
     begin[off] = True  # a text ends the word before
     inner = ~gap
