@@ -6,8 +6,8 @@ words are looked up in the index (word -> templates and offsets), which gives ca
 other words must stand at the same relative positions, and the key phrase must be complete. Short templates need every word; long ones
 (8 words or more) four fifths.
 
-Scale: only SQL functions, no shuffle but that of the IDF counts (one row for each template word). The regular
-expression split into words is made for texts that hold some anchor word.
+Scale: only SQL functions, no shuffle but that of the IDF counts (one row for each template word and task). Texts
+are split into words only where one regular expression finds an anchor word.
 
 Defined results: null and empty texts have no words, no labels, score 0; repeated rows give equal rows; null ids
 pass through; extra columns are ignored; an empty table gives none (IDF is then 0 throughout, ties by word).
@@ -16,6 +16,8 @@ pass through; extra columns are ignored; an empty table gives none (IDF is then
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Separators where A-Z is not yet lower-cased, and what words consist of where it is.
+BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+INSIDE = r"^\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -58,27 +62,50 @@ def templates() -> list[tuple[list[str], str, int, int, bool]]:
 VOCABULARY = sorted({w for t in templates() for w in t[0]})
 
 
+def low_enough():
+    """The text in lower case, to look for template words: they are plain, and no other letter becomes one of theirs."""
+    return F.lower(F.coalesce("text", F.lit("")))
+
+
 def lowered(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOW)
 
 
+def words_in(text):
+    """Number of words: each becomes one letter, with the separators before it; one more at the end takes the last separators."""
+    return (F.length(F.regexp_replace(F.concat(text, F.lit(" x")), f"[{BETWEEN}]*+[^{BETWEEN}]++", "w")) - 1).cast("long")
+
+
 def word_array(low):
     return F.filter(F.split(low, SEPARATORS), lambda w: w != "")
 
 
+def whole_word(words: list[str]) -> str:
+    """A pattern for any of the words as a word of its own, in lower-cased text."""
+    return f"(?<![{INSIDE}])(?:{'|'.join(words)})(?![{INSIDE}])"
+
+
+def any_inside(words: list[str]):
+    """Whether the lower-cased text holds any of the words, be it within others: cheap, before a regular expression."""
+    return reduce(operator.or_, [F.contains(low_enough(), F.lit(w)) for w in words])
+
+
 def idf(docs: DataFrame) -> dict[str, float]:
-    """IDF of each template word over all rows of docs; a row for each word reaches the driver."""
-    low = docs.select(lowered(F.col("text")).alias("low"))
-    flag = lambda w: F.sum(F.expr(f"CASE WHEN contains(low, '{w}') AND low RLIKE '(^|[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]){w}($|[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F])' THEN 1 ELSE 0 END"))
+    """IDF of each template word over all rows of docs; a row for each word reaches the driver.
+
+    Words of up to three letters are taken as common (0)."""
     rare = [w for w in VOCABULARY if len(w) > 3]
-    row = low.agg(F.count("*").alias("n"), *[flag(w).alias(f"w_{w}") for w in rare]).first()
-    n = row["n"]
-    return {w: (math.log((1 + n) / (1 + (row[f"w_{w}"] or 0))) if w in rare else 0.0) for w in VOCABULARY}
+    found = F.when(any_inside(rare), F.array_distinct(F.regexp_extract_all(low_enough(), F.lit(whole_word(rare)), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.explode(F.array_append(found, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    n = {r["w"]: r["n"] for r in rows}
+    return {w: (math.log((1 + n.get("", 0)) / (1 + n.get(w, 0))) if w in rare else 0.0) for w in VOCABULARY}
 
 
 def anchors(weights: dict[str, float]) -> list[int]:
-    """Offset of each template's word of highest IDF (ties: the longest, then the first)."""
-    return [max(range(len(t[0])), key=lambda i: (weights[t[0][i]], len(t[0][i]), -i)) for t in templates()]
+    """Offset of each template's word of highest IDF (ties: the longest, then the first).
+
+    Of a long template, whose other words may be missing, a word of the key phrase."""
+    return [max(range(key, key + n) if not base and len(words) >= LONG else range(len(words)), key=lambda i: (weights[words[i]], len(words[i]), -i)) for words, _, key, n, base in templates()]
 
 
 def _is(word: str):
@@ -115,12 +142,8 @@ def scan_licenses(docs: DataFrame, weights: dict[str, float] | None = None) -> D
     at = anchors(weights)
     ts = templates()
     looked = sorted({t[0][a] for t, a in zip(ts, at, strict=True)})
-    df = docs.select("doc_id", lowered(F.col("text")).alias("low"))
-    df = df.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("long"))
-    may = F.lit(False)
-    for w in looked:
-        may |= F.contains("low", F.lit(w))
-    df = df.withColumn("w", F.when(may, word_array(F.col("low"))).otherwise(F.array().cast("array<string>"))).drop("low")
+    text = F.coalesce("text", F.lit(""))
+    df = docs.select("doc_id", words_in(text).alias("n_words"), F.when(any_inside(looked) & low_enough().rlike(whole_word(looked)), word_array(lowered(F.col("text")))).otherwise(F.array().cast("array<string>")).alias("w"))
     # places of the rare words; one pass over the words of the few texts that hold any
     places = F.filter(F.transform("w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(looked))
     df = df.withColumn("hits", F.when(F.arrays_overlap("w", F.array(*map(F.lit, looked))), places))
@@ -152,25 +175,29 @@ def op1_license_scans(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """DuckDB: every template tried at every word."""
+    """DuckDB: every template tried at every word that may begin it or its key phrase."""
     parts, counts, base = [], [], []
     for k, (words, label, key, key_len, is_base) in enumerate(templates()):
         n = len(words)
         quoted = "[" + ", ".join(f"'{w}'" for w in words) + "]"
         if is_base or n < LONG:
             cond = f"w[i + 1] = '{words[0]}' AND w[i + 1 : i + {n}] = {quoted}"
+            starts = "c"
         else:
             same = " + ".join(f"coalesce((w[i + {j + 1}] = '{x}')::INT, 0)" for j, x in enumerate(words))
             keyed = "[" + ", ".join(f"'{w}'" for w in words[key : key + key_len]) + "]"
-            cond = f"w[i + {key + 1}] = '{words[key]}' AND w[i + {key + 1} : i + {key + key_len}] = {keyed} AND {same} >= {SHARE} * {n}"
-        parts.append(f"list_filter(range(0, len(w)), lambda i: {cond}) AS t{k}")
+            cond = f"i >= 0 AND w[i + {key + 1} : i + {key + key_len}] = {keyed} AND {same} >= {SHARE} * {n}"
+            starts = f"list_transform(list_filter(c, lambda i: w[i + 1] = '{words[key]}'), lambda i: i - {key})"
+        parts.append(f"list_filter({starts}, lambda i: {cond}) AS t{k}")
         counts.append((f"t{k}", label, is_base))
     base = " || ".join(c for c, _, b in counts if b)
     join = lambda which: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN len({c}) > 0 THEN '{label}' END" for c, label, b in counts if which(b)) + "], lambda x: x IS NOT NULL))), ',')"
     kinds = " + ".join(f"(len({c}) > 0)::INT" for c, _, _ in counts)
+    heads = "[" + ", ".join(sorted({f"'{t[0][0]}'" for t in templates()} | {f"'{t[0][t[2]]}'" for t in templates()})) + "]"
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-m AS (SELECT doc_id, len(w)::BIGINT AS n_words, {", ".join(parts)} FROM d),
+s AS (SELECT *, list_filter(range(0, len(w)), lambda i: list_contains({heads}, w[i + 1])) AS c FROM d),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, {", ".join(parts)} FROM s),
 b AS (SELECT *, {base} AS base, {kinds} AS kinds FROM m)
 SELECT doc_id, n_words, len(base)::BIGINT AS n_base, list_min(base)::BIGINT AS first_word, list_max(base)::BIGINT AS last_word,
   {join(lambda b: b)} AS base_labels, {join(lambda b: True)} AS labels,
