@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from lodestone.plans import evidence_queries, ledger_queries, source_queries, text_queries
+
+FLAGSHIP = "search_distinct"
+_PARTS = (text_queries, ledger_queries, evidence_queries, source_queries)
+QUERIES: dict = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in _PARTS for k, v in m.SQL.items()}

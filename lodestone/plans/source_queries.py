@@ -1,0 +1,82 @@
+"""Queries over Python source. The driver's tables hold none, so a few inline modules stand for a folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import retrieval
+from lodestone.sources import code as C
+from lodestone.sources import containers
+
+QUERIES, SQL = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+MODULES = {
+    "a.py": "import hashlib\nfrom os import path as p\n\ndef digest(data, *, name='x'):\n    \"\"\"Hash of data.\"\"\"\n    return hashlib.sha256(data).hexdigest()\n\nclass Store:\n    @staticmethod\n    def save(*rows, **kw):\n        def inner(x):\n            return p.join(x)\n        return inner\n",
+    "b.py": "import hashlib as h\nimport json\n\ndef restore(text):\n    value = json.loads(text)\n    h = value\n    return h.sha256(text)\n",
+    "c.py": "def broken(:\n",
+}
+NOTES = "# Notes\n\n`tool.py`\n\n```\nimport json\njson.dumps(1)\n```\n\n~~~sql\nSELECT 1\n~~~\n\n```python\nopen\n"
+PROFILE = [("hashlib.sha256", "digest"), ("json.loads", "parse"), ("os.path.join", "path")]
+
+
+def modules(spark):
+    return spark.createDataFrame(sorted(MODULES.items()), "source_id string, code string")
+
+
+def profile(spark):
+    return spark.createDataFrame(PROFILE, "api string, capability string")
+
+
+@query(
+    "python_definitions",
+    """SELECT * FROM (VALUES ('a.py', 'digest', 4, 6, ['data', 'name']), ('a.py', 'Store.save', 9, 13, ['*rows', '**kw']), ('a.py', 'Store.save.inner', 11, 12, ['x']), ('b.py', 'restore', 4, 7, ['text'])) t(source_id, name, start_line, end_line, parameters)""",
+)
+def python_definitions(spark, sf_dir):
+    return C.definitions(modules(spark)).select("source_id", "name", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "parameters")
+
+
+@query("python_imports", "SELECT * FROM (VALUES ('a.py', 'hashlib', 'hashlib'), ('a.py', 'p', 'os.path'), ('b.py', 'h', 'hashlib'), ('b.py', 'json', 'json')) t(source_id, binding, target)")
+def python_imports(spark, sf_dir):
+    return C.imports(modules(spark)).select("source_id", "binding", "target")
+
+
+@query("api_probe", "SELECT * FROM (VALUES ('a.py', 'digest', 'hashlib.sha256', 'digest', 6), ('a.py', 'Store.save.inner', 'os.path.join', 'path', 12), ('b.py', 'restore', 'json.loads', 'parse', 5)) t(source_id, scope, api, capability, line)")
+def api_probe(spark, sf_dir):
+    """Observed calls of a profile's APIs; a name that is bound again elsewhere gives none."""
+    return C.probe(modules(spark), profile(spark)).select("source_id", "scope", "api", "capability", F.col("line").cast("int").alias("line"))
+
+
+@query("parse_failures", "SELECT 'c.py' AS source_id, 'PYTHON_SYNTAX' AS code")
+def parse_failures(spark, sf_dir):
+    return C.failures(modules(spark))
+
+
+@query("observed_functions", "SELECT * FROM (VALUES ('a.py', 'digest', ['hashlib.sha256']), ('a.py', 'Store.save', []::VARCHAR[]), ('a.py', 'Store.save.inner', ['os.path.join']), ('b.py', 'restore', ['json.loads'])) t(source_id, name, observed_apis)")
+def observed_functions(spark, sf_dir):
+    return C.function_rows(modules(spark), profile(spark)).select("source_id", "name", "observed_apis")
+
+
+@query("function_search")
+def function_search(spark, sf_dir):
+    """Search over functions: name, documentation, parameters, path and observed APIs."""
+    rows = C.function_rows(modules(spark), profile(spark))
+    rows = rows.select(F.concat_ws(":", "source_id", "name").alias("row_id"), F.col("sha256").alias("group_id"), "name", "doc", F.array_join("parameters", " ").alias("params"), "source_id", F.array_join("observed_apis", " ").alias("apis"))
+    fields = {"symbol": "name", "documentation": "doc", "parameters": "params", "path": "source_id", "observed_api": "apis"}
+    return retrieval.search(rows, fields, {"q1": "digest hash", "q2": "restore json", "q3": "save store"})
+
+
+@query("container_segments", "SELECT * FROM (VALUES ('a.py', 'python_file', 1, 'PYTHON_SEGMENT'), ('.env', NULL, NULL, 'SENSITIVE_PATH_EXCLUDED'), ('notes.md', 'python_fence', 6, 'PYTHON_SEGMENT'), ('notes.md', 'python_fence', 11, 'LANGUAGE_NOT_ANALYZED'), ('notes.md', 'python_fence', 15, 'UNCLOSED_FENCE')) t(path, format, start_line, status)")
+def container_segments(spark, sf_dir):
+    files = spark.createDataFrame([("a.py", MODULES["a.py"].encode()), (".env", b"X=1"), ("notes.md", NOTES.encode())], "path string, content binary")
+    return containers.segments(files).select("path", "format", F.col("start_line").cast("int").alias("start_line"), "status")
