@@ -26,6 +26,8 @@ from . import common as C
 SLOTS, BANDS, ROWS = 181, 30, 6
 #: Members of a block that meet in one task at most (two chunks of as many).
 CHUNK = 1500
+#: Copies that a class has at least to be joined by broadcast.
+LARGE = 256
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -225,8 +227,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     sk = docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
     sk = C.cut(sk.withColumn("id", F.coalesce("doc_id", F.lit(C.NULL_ID))))
     some = sk.where("n_shingles > 0")
-    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    reps = C.cut(some.join(classes, ["k1", "k2"]).where("id = node").groupBy("node").agg(F.first("bands").alias("bands")))
+    # one row for each class of equal sets; copies meet in partial aggregations, not in a join
+    reps = C.cut(some.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("n")))
+    # rows that share a doc_id but not a text: the id stands for each of its sets
+    classes = reps.select("k1", "k2", "node", "n")
     rows = reps.select("node", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1")
     block = components(rows.join(least, "band").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct())
@@ -239,7 +243,12 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     meet = held.select("block", "chunk", "node", "z", pair).select("block", "p.i", "p.j", "chunk", "node", "z")
     meet = meet.repartition(C.shards(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
     root = components(meet.mapInArrow(_confirm(shingle_words, percent), "a long, b long"))
-    out = sk.join(classes, ["k1", "k2"], "left").join(root, "node", "left")
+    # a class that holds a thousandth of all rows or more is joined by broadcast (at most 1000 of them), the rest by shuffle
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    big = F.col("n") >= max(LARGE, total / 1000)
+    at = lambda c: c.join(root, "node", "left").select("k1", "k2", "node", "root")
+    hot = F.broadcast(at(classes.where(big)))
+    out = sk.join(hot, ["k1", "k2"]).unionByName(sk.join(hot, ["k1", "k2"], "left_anti").join(at(classes.where(~big)), ["k1", "k2"], "left"), allowMissingColumns=True)
     comp = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("root", "node"))
     comp = F.when(comp != C.NULL_ID, comp)
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.col("doc_id").isNull() & comp.isNull()).alias("kept"))

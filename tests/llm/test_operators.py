@@ -1,0 +1,396 @@
+"""Operators 1-4, 6-9 and the pipeline's stages: brute force, exact round trips, held-out accuracy and edge cases."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm import common as C
+from lodestone.llm import contamination, fingerprints, language, licenses, near_dedup, pieces, secrets, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, low string, id int, tag int, w string"
+VOCABULARY = "amber birch cedar delta ember fable grove hazel inlet jumbo karma lemon maple noble ocean pearl quartz raven sable tulip umber vivid walnut yield zebra".split()
+
+
+def frame(spark, rows, parts=3):
+    """Rows with the usual columns and some whose names clash with the operators' own."""
+    data = [(i, t, "en" if t else None, "s", len(t or ""), "x", 1, 2, "y") for i, t in rows]
+    return spark.createDataFrame(data, SCHEMA).repartition(parts)
+
+
+def prose(rng, n, vocabulary=VOCABULARY):
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+EDGES = [(900, None), (901, ""), (902, " \n\t"), (903, "é"), (None, "amber birch"), (904, "amber birch"), (904, "amber birch"), (905, "x " * 30_000)]
+
+
+# -- 1
+
+
+def test_licenses_against_every_template_everywhere(spark):
+    rng = random.Random(1)
+    texts = ["Licensed under the Apache License, Version 2.0. MIT-License; mit license\nCC BY", "GNU General Public License gnu general public", "apacheé license", "mit licenses"]
+    for words, *_ in licenses.templates():
+        texts += [prose(rng, 5) + " " + " ".join(words) + "! " + prose(rng, 3), " ".join(w for w in words if rng.random() < 0.85)]
+    rows = list(enumerate(texts)) + EDGES
+    got = {(r.doc_id, r.n_words): r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    for i, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places, base, labels = [], set(), set()
+        for words, label, key, n, is_base in licenses.templates():
+            for s in range(-key, len(w)):
+                if s < 0:
+                    continue
+                if is_base or len(words) < licenses.LONG:
+                    ok = w[s : s + len(words)] == words
+                else:
+                    ok = w[s + key : s + key + n] == words[key : key + n] and sum(a == b for a, b in zip(w[s:], words, strict=False)) >= licenses.SHARE * len(words)
+                if ok:
+                    labels.add(label)
+                    if is_base:
+                        base.add(label)
+                        places.append(s)
+        r = got[i, len(w)]
+        assert (r.n_base, r.first_word, r.last_word) == (len(places), min(places, default=None), max(places, default=None)), t
+        assert (r.base_labels, r.labels) == (",".join(sorted(base)), ",".join(sorted(labels))), t
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(labels)
+
+
+def test_license_plan_is_native(spark):
+    plan = licenses.scan_licenses(frame(spark, [(1, "mit license")]), dict.fromkeys(licenses.VOCABULARY, 1.0))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange hash" not in plan
+
+
+# -- 2
+
+
+def brute_secrets(t):
+    out = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 12 and m[1].isascii():
+            out.append(("assign", m.start(), m.end()))
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+
+
+def test_secrets(spark):
+    texts = ["API_KEY='abcdefghijkl'", "password: short", "tokEN = ABCDEFGHIJKLMNOP.=", "AKIA" + "A1" * 8, "x 0123456789abcdef0 y", "paſſword=abcdefghijklmnop", "secret=0123456789abcdef0123", "é password=abcdefghijkl secret:abcdefghijklmno", "key Zx9kQ2vLr8TmW4pYc7HdB1nS6f end"]
+    rows = list(enumerate(texts)) + EDGES
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    for i, t in enumerate(texts):
+        want = brute_secrets(t)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x[0] for x in want) for k in ("assign", "access", "hex")), t
+        digest = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("markov")] == [x for x in digest.split(",") if x]
+    assert "markov" in got[8].spans
+    assert got[900].spans == got[901].spans == ""
+
+
+def test_markov_models_held_out():
+    random_strings, plain = secrets.samples(400, seed=99)
+    ok = [secrets.model().score(x) > secrets.THRESHOLD for x in random_strings], [secrets.model().score(x) > secrets.THRESHOLD for x in plain]
+    assert np.mean(ok[0]) > 0.8 and np.mean(ok[1]) < 0.02
+
+
+def test_redaction():
+    t = "a password=abcdefghijklmnop b"
+    assert secrets.clean(t) == "a [assign] b"
+    assert secrets.clean("nothing here") == "nothing here"
+    assert secrets.clean(None) is None
+
+
+# -- 3
+
+
+def test_language_held_out_and_edges(spark):
+    rng = random.Random(5)
+    kinds = {"aa": "the and with thing other".split(), "bb": "der die und nicht zwischen".split()}
+    rows = []
+    for i in range(160):
+        k = ["aa", "bb"][i % 2]
+        rows.append((i, prose(rng, 40, kinds[k]), k))
+    df = spark.createDataFrame([*rows, (1000, None, None), (1001, "12 34", None), (None, "the and", None)], "doc_id long, text string, lang string")
+    net = language.train(df)
+    got = {r.doc_id: r for r in language.identify(df, net).collect()}
+    held = [(got[i].lang_pred, k) for i, _, k in rows if got[i].held_out]
+    assert held and np.mean([a == b for a, b in held]) > 0.95
+    assert got[1000].lang_pred == got[1001].lang_pred == "und"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert language.identify(df, None).where("lang_pred <> 'und'").count() == 0
+
+
+def test_gradients_by_differences():
+    net = language.ByteGru(["a", "b"], seed=1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    rng = np.random.default_rng(2)
+    x, y, mask = rng.integers(0, 256, (6, 3)), np.array([0, 1, 0]), np.ones((6, 3))
+    _, g = net.grads(x, y, mask)
+    for k in ("u0", "u1", "v", "b"):
+        flat = net.w[k].reshape(-1)
+        for i in range(0, flat.size, max(1, flat.size // 5)):
+            old, e = flat[i], 1e-3
+            flat[i] = old + e
+            up = net.grads(x, y, mask)[0]
+            flat[i] = old - e
+            down = net.grads(x, y, mask)[0]
+            flat[i] = old
+            assert abs((up - down) / (2 * e) - g[k].reshape(-1)[i]) < 2e-3
+
+
+# -- 4
+
+
+def brute_align(a, b):
+    best = 0
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+            best = max(best, h[i][j])
+    return best
+
+
+def test_alignment_matches_the_textbook():
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = [rng.randrange(4) for _ in range(rng.randint(1, 15))], [rng.randrange(4) for _ in range(rng.randint(1, 25))]
+        assert contamination.align(np.array(a, np.uint64), np.array(b, np.uint64))[0] == brute_align(a, b)
+
+
+def test_contamination_finds_whole_and_edited_copies(spark):
+    rng = random.Random(7)
+    many = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(400)]
+    items = [(k, prose(rng, 30, many)) for k in range(12)] + [(50, None), (51, "one two"), (52, "")]
+    docs, want = [], set()
+    for i in range(60):
+        t = prose(rng, 80, many)
+        if i % 3 == 0:
+            k = rng.randrange(12)
+            w = items[k][1].split()
+            if i % 2:
+                w = [x.upper() + "," for x in w]
+            for _ in range(i % 4):
+                w[rng.randrange(len(w))] = rng.choice(many)
+            if i % 5 == 0:
+                del w[rng.randrange(len(w))]
+            t += ". " + " ".join(w) + ". " + prose(rng, 20, many)
+            want.add((i, k))
+        docs.append((i, t))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.find_copies(frame(spark, docs + EDGES), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    for r in got:
+        assert 0.5 <= r.score <= 1
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert contamination.find_copies(frame(spark, docs), none).count() == 0
+    assert contamination.find_copies(frame(spark, [], 1), bench).count() == 0
+
+
+def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 12)) for k in range(8)]
+    docs = [(i, prose(rng, 10) + " " + items[i % 8][1]) for i in range(16)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(r) for r in contamination.find_copies(frame(spark, docs), bench).collect()}
+    monkeypatch.setattr(contamination, "BLOCK_BYTES", 200)
+    assert len(contamination.prepare(frame(spark, docs), bench)) > 1
+    assert {(r.doc_id, r.item_id) for r in contamination.find_copies(frame(spark, docs), bench).collect()} == {(x[0], x[1]) for x in one}
+
+
+# -- 6
+
+
+def test_pieces_match_the_library_and_round_trip(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["Hello world", "  two  spaces ", "line\nbreak\n\n x", "tabs\tand\r\n", "▁mark ▁▁", "emoji 😀 漢字 é", "a" * 300, "\n", " ", "x▁", "\u0000z", "ﬁ ligature ½", "é combining"]
+    rows = list(enumerate(texts)) + EDGES[:-1]
+    got = pieces.encode_documents(frame(spark, rows), path).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, r)
+    for i, t in rows:
+        ids = lib.encode(t or "")
+        assert list(by[i].ids) == ids, t
+        assert by[i].n_tokens == len(ids)
+        assert by[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert by[i].decoded == lib.decode(ids)
+
+
+# -- 7
+
+
+def test_toxicity_held_out_and_edges(spark):
+    rng = random.Random(11)
+    bad = "vilewort scumbug rotfool trashlet".split()
+    rows = []
+    for i in range(500):
+        toxic = i % 3 == 0
+        w = [rng.choice(VOCABULARY) for _ in range(40)]
+        for k in range(4 * toxic):
+            w[rng.randrange(40)] = rng.choice(bad)
+        rows.append((i, " ".join(w), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (900, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    pair = toxicity.fit(*toxicity.sample(docs, labels))
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, pair).collect()}
+    held = [(got[i].predicted, x) for i, _, x in rows if got[i].held_out]
+    assert np.mean([a == b for a, b in held]) > 0.9
+    assert got[None].predicted == got[900].predicted == 0
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert toxicity.score_documents(docs, toxicity.fit([], [])).where("score > 0").count() == 0
+
+
+# -- 8
+
+
+def brute_anchors(data: bytes):
+    keys = [int(k) for k in C.BYTE_KEYS]
+
+    def h(b):
+        s = sum(keys[c] * pow(C.MULT, i, 2**64) for i, c in enumerate(b)) % 2**64
+        return int(C.mix(np.array([s], np.uint64))[0])
+
+    out = {}
+    for i in range(len(data) - fingerprints.K + 1):
+        k = data[i : i + fingerprints.K]
+        inner = [h(k[j : j + fingerprints.S]) for j in range(fingerprints.K - fingerprints.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.setdefault(h(k) >> 16, i)
+    return sorted(out.items())[: fingerprints.SIZE]
+
+
+def test_syncmers_against_brute_force():
+    rng = random.Random(4)
+    texts = [prose(rng, n).encode() for n in (0, 1, 6, 40, 90)]
+    data, off = C.flat(pa.array(texts, pa.large_binary()))
+    for t, (h, p) in zip(texts, fingerprints.anchors(data, off), strict=True):
+        want = brute_anchors(t)
+        if want:
+            assert list(zip(h, p, strict=True)) == want
+        else:
+            assert len(h) == bool(t)
+
+
+def test_fingerprints_of_neighbours(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(0, 120))) for i in range(0, 90, 2)] + [(200, None), (201, ""), (202, "é"), (203, "same " * 50), (204, "same " * 50)]
+    got = {r.doc_id: r for r in fingerprints.compare_edited(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        new = t[: len(t) - n] + following[:n]
+        r = got[i]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        f = dict(zip(("t", "n", "f"), fingerprints._fingerprints([t.encode(), new.encode(), following.encode()]), strict=True))
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.as_text(f["t"]), fingerprints.as_text(f["n"]))
+        assert r.near_edited == fingerprints.likeness(f["t"], f["n"]) and r.near_next == fingerprints.likeness(f["t"], f["f"])
+        if len(t) > 400:
+            assert r.near_edited > 0.25 and (t == following or r.near_next < 0.1)
+    assert got[204].near_next == 1.0 and got[204].fingerprint == got[203].fingerprint
+
+
+def test_fingerprints_of_few_rows(spark):
+    assert fingerprints.compare_edited(frame(spark, [], 1)).count() == 0
+    (r,) = fingerprints.compare_edited(frame(spark, [(None, "abcdef")])).collect()
+    assert r.doc_id is None and r.near_next == 1.0
+    assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+    assert fingerprints.fingerprints(frame(spark, EDGES)).count() == len(EDGES)
+    ties = fingerprints.compare_edited(frame(spark, [(1, "a"), (1, "b"), (2, "c")])).collect()
+    assert len(ties) == 3
+
+
+# -- 9
+
+
+def brute_near(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets.append({tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {rows[i][0]: (len(sets[i]), rows[root(i)][0]) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("k, percent, chunk", [(3, 85, 1500), (5, 80, 6)])
+def test_near_groups(spark, monkeypatch, k, percent, chunk):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = prose(rng, rng.randint(30, 120)).split()
+        for _ in range(rng.randint(1, 9)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(500, None), (501, ""), (502, "Amber birch"), (503, "amber  BIRCH"), (504, "one")]
+    got = {r.doc_id: r for r in near_dedup.near_groups(frame(spark, rows), k, percent).collect()}
+    want = brute_near(rows, k, percent)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def test_near_groups_of_nothing(spark):
+    assert near_dedup.near_groups(frame(spark, [], 1)).count() == 0
+
+
+def test_super_minhash_estimates_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    b = np.concatenate([a[:240], rng.integers(0, 2**63, 60, dtype=np.uint64)])
+    s = near_dedup.signatures([np.unique(a), np.unique(b)])
+    assert abs((s[0] == s[1]).mean() - 240 / 360) < 0.12
+
+
+# -- pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    many = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(300)]
+    item = prose(rng, 25, many)
+    rows = [(i, prose(rng, 60, many)) for i in range(40)]
+    rows += [(100, rows[3][1]), (101, rows[4][1] + " tail"), (102, prose(rng, 20, many) + " " + item), (103, "1234 5678"), (104, prose(rng, 30, many) + " password=abcdefghijklmnop"), (None, prose(rng, 30, many)), (105, None)]
+    docs = spark.createDataFrame([(i, t, "en" if t else None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+        kept.write.parquet(str(tmp_path / f"s{k}"))
+        kept = spark.read.parquet(str(tmp_path / f"s{k}"))
+    ids = {r.doc_id for r in kept.collect()}
+    assert ids == {*range(40), 104, None}
+    r = kept.where("doc_id = 104").first()
+    assert r.text.endswith("[assign]") and r.n_chars == len(r.text)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == ids and all(len(r.ids) == r.n_tokens for r in out)

@@ -1,0 +1,36 @@
+"""The registered queries of this subpackage on the smallest tables, against their SQL where there is any."""
+
+import os
+from pathlib import Path
+
+import pytest
+
+from lodestone.llm import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{Path(SF, t)}.parquet')")
+    return con
+
+
+def rows(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple("~" if r[i] is None else f"{r[i]:.9g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in data)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_against_sql(spark, duck, name):
+    df = queries.QUERIES[name](spark, SF)
+    r = duck.execute(queries.SQL[name])
+    columns = [c[0] for c in r.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows(df.columns, df.collect()) == rows(columns, r.fetchall())
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
