@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import canon as J
+from lodestone.functions import direction
 from lodestone.functions import text as T
-from lodestone.operators import evidence, graph, ledger, matching, packing, ranking, retrieval
+from lodestone.operators import admission, evidence, graph, ledger, matching, opportunity, packing, ranking, retrieval
 from lodestone.sources import code, containers, publish
 from lodestone.streaming import ledger as stream
 
@@ -156,6 +157,33 @@ def test_leases_and_verdicts(spark):
     assert ledger.verdicts(good, base, "c", 1).first().status == "REJECTED"
 
 
+def test_producing_steps(spark):
+    steps = [("s1", ["a"], ["b"]), ("s2", ["x"], ["y"]), ("s3", ["b"], ["c"]), ("s4", ["c", "a"], [])]
+    df = spark.createDataFrame([("w", "s4", ["a"], steps)], "workflow string, target string, initial array<string>, steps array<struct<id: string, requires: array<string>, produces: array<string>>>")
+    assert [r.step for r in admission.producing_steps(df).collect()] == ["s4", "s3", "s1"]
+
+
+def test_citations_that_move(spark):
+    cols = "owner string, source string, start int, end int, quote string"
+    old = spark.createDataFrame([("o", "a", 0, 3, "abc"), ("o", "b", 0, 2, "xy"), ("o", "c", 0, 1, "q"), ("o", "d", 0, 1, "z"), ("o", "e", 2, 4, "mm")], cols)
+    new = spark.createDataFrame([("o", "a", 5, 8, "abc"), ("o", "b", 0, 2, "xy"), ("o", "e", 5, 7, "mm"), ("o", "a", 9, 10, "!")], cols)
+    texts = "source string, uri string, text string"
+    before = spark.createDataFrame([("a", "u", "abc"), ("b", "u", "xy"), ("c", "u", "q"), ("d", "u", "z"), ("e", "u", "..mmm")], texts)
+    after = spark.createDataFrame([("a", "u", "-----abc ! "), ("b", "u", "xy"), ("d", "v", "z"), ("e", "u", ".....mm")], texts)
+    got = {(r.source, r.start): r.status for r in opportunity.compare_citations(old, new, before, after).collect()}
+    assert got[("a", 0)] == "MOVED" and got[("b", 0)] == "RETAINED" and got[("c", 0)] == "SOURCE_REMOVED" and got[("d", 0)] == "SOURCE_REPLACED"
+    assert got[("e", 2)] == "OCCURRENCE_UNCERTAIN" and got[("a", 9)] == "NEW_CITATION" and ("a", 5) not in got
+
+
+def test_direction(spark):
+    assert direction.parse("convert rows to columns") == (["rows"], ["columns"])
+    assert direction.parse("convert rows to columns and back") is None
+    assert direction.parse("turn a into b from c") is None
+    df = spark.createDataFrame([(["rows"], ["columns"], [("N", ["rows"], ["columns"])]), (["rows"], ["columns"], [("N", ["rows"], ["columns"]), ("D", ["columns"], ["rows"])]), (None, None, [("N", ["rows"], ["columns"])])], "i array<string>, o array<string>, d array<struct<basis: string, input: array<string>, output: array<string>>>")
+    got = [r.x for r in df.select(direction.agreeing_declaration(F.col("i"), F.col("o"), F.col("d")).alias("x")).collect()]
+    assert got[0].basis == "N" and got[1] is None and got[2] is None
+
+
 def test_division_with_nulls(spark):
     rows = spark.createDataFrame([("x", 1, None), ("x", 2, None), ("y", 1, None), ("z", 1, True), ("z", 2, None)], "k string, v int, bad boolean")
     got = matching.divide(rows, "k", {"a": F.col("v") == 1, "b": F.col("v") == 2}, F.col("bad")).collect()
@@ -181,7 +209,24 @@ def test_containers(spark, tmp_path):
     (tmp_path / "n.ipynb").write_text(json.dumps({"metadata": {"language_info": {"name": "python"}}, "cells": [{"cell_type": "code", "source": ["p = 1\n"]}, {"cell_type": "markdown", "source": "x"}]}))
     files = containers.folder(spark, str(tmp_path))
     got = {(r.path.rsplit("/", 1)[-1], r.member, r.status) for r in containers.segments(files).collect()}
-    assert got == {("a.zip", "one.py", "PYTHON_SEGMENT"), ("a.zip", "in.zip!deep.py", "PYTHON_SEGMENT"), ("a.zip", "in.zip!../up.py", "UNSAFE_MEMBER"), ("a.zip", "blob.bin", "FORMAT_NOT_READ"), ("n.ipynb", "", "PYTHON_SEGMENT")}
+    assert got == {("a.zip", "one.py", "PYTHON_SEGMENT"), ("a.zip", "in.zip!deep.py", "PYTHON_SEGMENT"), ("a.zip", "in.zip!../up.py", "UNSAFE_MEMBER"), ("a.zip", "blob.bin", "NON_CODE_PAYLOAD_NOT_READ"), ("n.ipynb", "", "PYTHON_SEGMENT")}
+
+
+def test_container_limits():
+    def packed(body, name="x.zip", n=1):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for _ in range(n):
+                z.writestr(name, body)
+        return out.getvalue()
+
+    deep = packed(packed(packed(packed(b"x = 1\n", "x.py"))))
+    assert [r[6] for r in containers.read_container("d.zip", deep)] == ["DEPTH_LIMIT"]
+    assert [r[6] for r in containers.read_container("r.zip", packed(b"#" * 1_000_000, "x.py"))] == ["RATIO_LIMIT"]
+    assert [r[6] for r in containers.read_container("b.zip", b"no archive")] == ["INVALID_ARCHIVE"]
+    assert [r[6] for r in containers.read_container("n.txt", b"plain words, no code")] == ["TEXT_CONTAINER_INSPECTED"]
+    assert [r[2] for r in containers.read_container("n.txt", b"x = 1\n")] == ["python_text"]
+    assert [r[6] for r in containers.read_container("node_modules/x.py", b"")] == ["DEPENDENCY_OR_GENERATED_EXCLUDED"]
 
 
 def test_publish_and_tamper(spark, tmp_path):
