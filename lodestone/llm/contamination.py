@@ -1,17 +1,23 @@
-"""Benchmark decontamination (operator 4): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 4): rare pair seeds, then Smith-Waterman alignment.
 
-Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case. A test item's seeds are the rarer half
-(at least LEAST) of its GRAM-word sequences, by their counts over all documents; so an item that leaked into
-thousands of documents keeps its seeds. Places where two different seeds of an item stand within an item's
-length of one another are aligned with the item, word by word: a match scores 2, a mismatch or a gap -1, and
-the best local score over 2 * (words of the item) is the score. A document with a place that scores CUT or more
-holds a copy of the item: whole, edited or paraphrased.
+Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case. A document's place is aligned with a
+test item word by word: a match scores 2, a mismatch or a gap -1, and the best local score over 2 * (words of the
+item) is the score. A document with a place that scores CUT or more holds a copy of the item: whole, edited or
+paraphrased.
+
+The seeds lose no such place. Of two matches in a row with no word between them on either side, the pair stands in
+both texts; with one mismatch or gap between them, it stands at a distance of 1 or 2 words in both. Let a place have
+m matches, a of the first links, b of the second, and so at least b + 2 (m - 1 - a - b) errors: if its points are N or
+more, 2 a + b >= N - 2. Links lie side by side over the gaps between the item's words and weigh at most 2 each, so
+the seeds over d gaps can go, and the others still weigh N - 2 - 2 d together. The gaps whose pairs are the most
+frequent over all documents go, for as long as that stays 1 or more. No place is longer than 3 n - N words (n: the
+item's words). What passes is weighed by all its pairs, then aligned.
 
 Scale: two scans of the documents (count the seeds, then look for them) and no shuffle of texts. The items
 travel to the tasks only in blocks of BLOCK_BYTES, by a count of the table's bytes; a benchmark beyond that is
 taken block by block, each against all documents.
 
-Defined results: null, empty and short texts hold nothing; items of fewer than GRAM words aren't looked for;
+Defined results: null, empty and short texts hold nothing; items of fewer than LEAST words aren't looked for;
 repeated rows give equal rows, repeated items rows of their own; null ids pass through; extra columns are
 ignored; an empty table on either side gives no rows.
 """
@@ -28,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-GRAM, LEAST, CUT = 3, 8, 0.5
+LEAST, CUT = 3, 0.5
 #: Bytes of test items that a task gets at once.
 BLOCK_BYTES = 16 << 20
 
@@ -40,50 +46,111 @@ def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return C.span(C.prefix(C.BYTE_KEYS[low]), starts, ends), at
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM words from each place on."""
-    at = np.arange(max(0, len(words) - GRAM + 1))
-    return C.span(C.prefix(words), at, at + GRAM) if len(at) else words[:0]
+def pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    """Hash of each word with the one `apart` places on."""
+    return C.mix(words[:-apart] * np.uint64(C.MULT) + words[apart:]) if len(words) > apart else words[:0]
 
 
 class Items:
-    """A block of test items: words, and all their grams as sorted keys with (item, offset)."""
+    """A block of test items: words, and their pairs of words 1 and 2 apart as sorted keys with (item, place, apart)."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         self.ids = ids
         data, off = C.flat(pa.array(texts, pa.string()))
         w, at = split_words(data, off)
         self.words = [w[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        own = [grams(x) for x in self.words]
-        key = np.concatenate(own) if own else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        place = np.concatenate([np.arange(len(x)) for x in own]) if own else np.zeros(0, np.int64)
-        self._set(key, item, place)
-
-    def _set(self, key, item, place):
+        self.size = np.diff(at)
+        points = np.ceil(2 * CUT * self.size).astype(np.int64)
+        #: Weight that the links of a copy have at least, with all seeds and with those kept; words it spans at most.
+        self.full = self.need = np.maximum(1, points - 2)
+        self.reach = 3 * self.size - points
+        key, item, place, apart = [], [], [], []
+        owner = np.repeat(np.arange(len(ids)), self.size)
+        for d in (1, 2):
+            h = pairs(w, d)
+            inside = np.flatnonzero((owner[: len(h)] == owner[d:][: len(h)]) & (self.size[owner[: len(h)]] >= LEAST))
+            key.append(h[inside])
+            item.append(owner[inside])
+            place.append(inside - at[owner[inside]])
+            apart.append(np.full(len(inside), d))
+        self._set(*map(np.concatenate, (key, item, place, apart)))
+
+    def _set(self, key, item, place, apart):
         order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], item[order], place[order]
-        self.seeds = np.bincount(self.item, minlength=len(self.ids))
+        self.key, self.item, self.place, self.apart = key[order], item[order], place[order], apart[order]
+        self.keys, self.first, self.many = np.unique(self.key, return_index=True, return_counts=True)
+        self.may = np.zeros(1 << 22, bool)  # by the top bits; most words of a text end here
+        self.may[self.keys >> np.uint64(42)] = True
 
     def keep_rare(self, count: dict[int, int]) -> None:
-        """Leaves each item the rarer half of its grams, by corpus count, then place; LEAST at least."""
-        n = np.array([count.get(k, 0) for k in self.key.view(np.int64).tolist()], np.int64)
-        order = np.lexsort((self.place, n, self.item))
-        item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        few = order[rank < np.maximum(LEAST, (self.seeds[item] + 1) // 2)]
-        self._set(self.key[few], self.item[few], self.place[few])
-
-    def hits(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in w, index into key) of all seeds in a row of words."""
-        g = grams(w)
-        if not len(g) or not len(self.key):
+        """Drops the seeds over each item's most frequent gaps, as many as leave a copy with a seed for certain."""
+        start = np.cumsum(self.size) - self.size
+        n = np.array([count.get(k, 0) for k in self.key.view(np.int64).tolist()], np.float64)
+        gap = start[self.item] + self.place
+        wide = self.apart == 2
+        cost = np.bincount(np.concatenate([gap, gap[wide] + 1]), np.concatenate([n, n[wide]]), self.size.sum() + 1)
+        hot = np.zeros(len(cost), bool)
+        drop = (self.full - 1) // 2
+        for i in np.flatnonzero(self.size >= LEAST).tolist():
+            gaps = start[i] + np.arange(self.size[i] - 1)
+            hot[gaps[np.argsort(-cost[gaps], kind="stable")[: drop[i]]]] = True
+        self.need = self.full - 2 * drop
+        keep = ~(hot[gap] | (wide & hot[gap + 1]))
+        self._set(self.key[keep], self.item[keep], self.place[keep], self.apart[keep])
+
+    def hits(self, w: np.ndarray, at: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in w, index into keys) of all seeds whose words stand so far apart in a text; at: the texts' word offsets."""
+        h = pairs(w, apart)
+        if not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo = np.searchsorted(self.key, g)
-        at = np.flatnonzero(self.key[np.minimum(lo, len(self.key) - 1)] == g)
-        hi = np.searchsorted(self.key, g[at], side="right")
-        n = hi - lo[at]
-        return np.repeat(at, n), np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = np.flatnonzero(self.may[h >> np.uint64(42)])
+        h = h[place]
+        k = np.searchsorted(self.keys, h).clip(max=len(self.keys) - 1)
+        ok = self.keys[k] == h
+        place, k = place[ok], k[ok]
+        inside = place + apart < at[np.searchsorted(at, place, side="right").clip(max=len(at) - 1)]
+        return place[inside], k[inside]
+
+    def regions(self, w: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, end word) in w of all places that can hold a copy, by text, then item."""
+        place, item, weight = [], [], []
+        for d in (1, 2):
+            p, k = self.hits(w, at, d)
+            n = self.many[k]
+            e = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place.append(np.repeat(p, n))
+            item.append(self.item[e])
+            weight.append(np.where(self.apart[e] == 1, 3 - d, 1))
+        place, item, weight = map(np.concatenate, (place, item, weight))
+        if not len(place):
+            return []
+        text = np.searchsorted(at, place, side="right") - 1
+        order = np.lexsort((place, text, item))
+        place, item, weight, text = place[order], item[order], weight[order], text[order]
+        # places of different items lie far apart on one line
+        line = item * (len(w) + int(self.reach.max()) + 1) + place
+        total = np.concatenate([[0], np.cumsum(weight)])
+        reach = self.reach[item]
+        end = np.searchsorted(line, np.minimum(line + reach, line - place + at[text + 1] - 1), side="right")
+        ok = total[end] - total[:-1][: len(end)] >= self.need[item]
+        place, item, text, reach = place[ok], item[ok], text[ok], reach[ok]
+        if not len(place):
+            return []
+        lo, hi = np.maximum(place - reach, at[text]), np.minimum(place + reach + 1, at[text + 1])
+        new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])]))
+        last = np.append(new[1:], len(place)) - 1
+        return sorted(zip(text[new].tolist(), item[new].tolist(), lo[new].tolist(), hi[last].tolist(), strict=True))
+
+
+def weighs_enough(own: np.ndarray, part: np.ndarray, full: int, reach: int) -> bool:
+    """Whether the links of some `reach` words of part can weigh `full`, by all pairs of the item."""
+    near, far = pairs(own, 1), pairs(own, 2)
+    h = pairs(part, 1)
+    v = np.isin(h, near) * 2
+    v = np.maximum(v, np.isin(h, far))
+    v[: max(0, len(h) - 1)] = np.maximum(v[: max(0, len(h) - 1)], np.isin(pairs(part, 2), np.concatenate([near, far])))
+    total = np.concatenate([[0], np.cumsum(v)])
+    return bool((total[np.minimum(np.arange(len(v)) + reach, len(v))] - total[:-1]).max(initial=0) >= full)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -101,47 +168,32 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def places(items: Items, w: np.ndarray) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of each item that a row of words holds: its best place."""
-    at, k = items.hits(w)
-    if not len(at):
-        return []
-    order = np.lexsort((at, items.item[k]))
-    at, k = at[order], k[order]
-    item = items.item[k]
-    size = np.array([len(x) for x in items.words])[item]
-    new = np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[1:])])
-    first = np.flatnonzero(new)
-    out: dict[int, tuple[int, float, int, int]] = {}
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
-        i = int(item[a])
-        if len(np.unique(k[a:b])) < min(2, items.seeds[i]):
+def copies(items: Items, w: np.ndarray, at: np.ndarray):
+    """(text, item, score, first word, end word) of each item that a text holds: its best place."""
+    out: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for d, i, lo, hi in items.regions(w, at):
+        own, part = items.words[i], w[lo:hi]
+        if not weighs_enough(own, part, int(items.full[i]), int(items.reach[i])):
             continue
-        own = items.words[i]
-        lo = max(0, int((at[a:b] - items.place[k[a:b]]).min()) - len(own) // 2)
-        hi = int(at[b - 1]) + len(own) + len(own) // 2 + GRAM
-        part = w[lo:hi]
         score, end = align(own, part)
         s = score / (2 * len(own))
-        if s >= CUT and (i not in out or s > out[i][1]):
+        if s >= CUT and ((d, i) not in out or s > out[d, i][0]):
             back, length = align(own[::-1], part[:end][::-1])
-            out[i] = (i, s, lo + end - length, lo + end)
-    return [out[i] for i in sorted(out)]
+            out[d, i] = (s, lo - int(at[d]) + end - length, lo - int(at[d]) + end)
+    return [(d, i, *x) for (d, i), x in out.items()]
 
 
 def _count(items: Items):
     def run(batches):
-        n = np.zeros(len(items.key), np.int64)
+        n = np.zeros(len(items.keys), np.int64)
         for batch in batches:
             data, off = C.flat(batch.column(0))
             for i, j in C.blocks(off):
                 w, at = split_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                place, k = items.hits(w)
-                # grams that cross into the next text don't count
-                inside = place + GRAM <= at[np.searchsorted(at, place, side="right").clip(max=len(at) - 1)]
-                n += np.bincount(k[inside], minlength=len(n))
+                for apart in (1, 2):
+                    n += np.bincount(items.hits(w, at, apart)[1], minlength=len(n))
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(items.key[some].view(np.int64)), pa.array(n[some])], ["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(items.keys[some].view(np.int64)), pa.array(n[some])], ["k", "n"])
 
     return run
 
@@ -155,8 +207,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
         part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = sorted(part.select("item_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
         items = Items([r[0] for r in rows], [r[1] for r in rows])
-        # equal keys of several items share a count
-        counts = docs.select("text").mapInArrow(_count(items), "k long, n long").groupBy("k").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
+        counts = docs.select("text").mapInArrow(_count(items), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
         items.keep_rare(Counter({r["k"]: r["n"] for r in counts.collect()}))
         out.append(items)
     return out
@@ -171,11 +222,7 @@ def _find(blocks: list[Items]):
             for i, j in C.blocks(off):
                 w, at = split_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 for items in blocks:
-                    # only texts with some seed are looked at one by one
-                    where = np.unique(np.searchsorted(at, items.hits(w)[0], side="right") - 1)
-                    for d in where.tolist():
-                        for k, score, a, b in places(items, w[at[d] : at[d + 1]]):
-                            rows.append((ids[i + d], items.ids[k], score, a, b))
+                    rows += [(ids[i + d], items.ids[k], score, a, b) for d, k, score, a, b in copies(items, w, at)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
     return run
@@ -193,10 +240,12 @@ def holds_copy(blocks: list[Items]):
     def f(text):
         import pandas as pd
 
-        out = []
-        for t in text:
-            w, _ = split_words(*C.flat(pa.array([t], pa.string())))
-            out.append(any(len(items.hits(w)[0]) and places(items, w) for items in blocks))
+        data, off = C.flat(pa.array(text, pa.string(), from_pandas=True))
+        out = np.zeros(len(text), bool)
+        for i, j in C.blocks(off):
+            w, at = split_words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            for items in blocks:
+                out[[i + c[0] for c in copies(items, w, at)]] = True
         return pd.Series(out, dtype=bool)
 
     return F.pandas_udf(f, T.BooleanType())

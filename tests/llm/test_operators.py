@@ -206,6 +206,40 @@ def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in contamination.find_copies(frame(spark, docs), bench).collect()} == {(x[0], x[1]) for x in one}
 
 
+@pytest.mark.parametrize("lost", [0.15, 0.2, 0.25, 0.3, 0.35])
+def test_a_single_edited_copy_is_found_wherever_it_aligns(spark, lost):
+    rng = random.Random(int(100 * lost))
+    items, docs, want = [], [], {}
+    for k in range(60):
+        own = [f"w{k}x{i}" for i in range(rng.randint(3, 45))]
+        w = [f"z{k}x{i}" if rng.random() < lost else x for i, x in enumerate(own)]
+        if k % 4 == 1:
+            w = [f"z{k}x{i}" if i % 3 == 2 else x for i, x in enumerate(own)]  # no three words in a row
+        if k % 4 == 2:
+            w = [y for i, x in enumerate(own) for y in (x, f"z{k}x{i}")]  # no two
+        if k % 4 == 3 and len(w) > 5:
+            del w[rng.randrange(len(w))]
+        w = prose(rng, 30).split() + w + prose(rng, 30).split()
+        items.append((k, " ".join(own)))
+        docs.append((k, " ".join(w)))
+        best = brute_align(own, w) / (2 * len(own))
+        if best >= contamination.CUT:
+            want[k, k] = best
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.find_copies(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(want) > 25
+
+
+def test_copies_of_common_words_against_all_alignments(spark):
+    rng = random.Random(21)
+    items = [(k, prose(rng, rng.randint(3, 14), VOCABULARY[:7])) for k in range(25)]
+    docs = [(i, prose(rng, rng.randint(0, 40), VOCABULARY[:9])) for i in range(60)]
+    want = {(i, k): brute_align(a.split(), t.split()) / (2 * len(a.split())) for i, t in docs for k, a in items}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.find_copies(frame(spark, docs), bench).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == {x: s for x, s in want.items() if s >= contamination.CUT}
+
+
 # -- 6
 
 
