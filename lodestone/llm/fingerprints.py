@@ -2,9 +2,11 @@
 
 Of the K-byte strings of a text, closed syncmers are those whose smallest S-byte substring (by hash) stands at
 an edge: a property of the string alone, so the same anchors are found wherever a passage stands. The
-fingerprint keeps the SIZE anchors of smallest hash, each with its byte position. Likeness is a positional
-match: of the SIZE smallest hashes of both texts together, the share that both have in the same order (the
-longest chain that ascends in both). A text without anchors stands for itself as one anchor.
+fingerprint keeps all anchors, each with its byte position, an anchor that stands several times with the first;
+so K and S alone set the density. Likeness is a positional match: of the anchors of both texts together, the share
+that both have in the same order (the longest chain that ascends in both). A text without anchors stands for
+itself as one anchor. As text a fingerprint is the base64 form of 10 bytes an anchor, by ascending hash: 6 of the
+hash, 4 of the position (parse() reads it).
 
 For the query each text is also edited: its last third is replaced by the beginning of the next document, by
 descending doc_id. Documents are dealt to range partitions by splits of their ids; the first document of a
@@ -17,6 +19,7 @@ columns are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 
@@ -27,11 +30,16 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-K, S, SIZE = 24, 8, 64
+K, S = 24, 8
+#: Anchors that a fingerprint keeps at most: no bound.
+SIZE = None
+ANCHOR = np.dtype([("low", "<u4"), ("high", "<u2"), ("pos", "<u4")])
 
+Fingerprint = tuple[np.ndarray, np.ndarray]
 
-def anchors(data: np.ndarray, off: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """(hashes ascending, positions) of each text's SIZE smallest closed syncmers, of equal ones the first."""
+
+def anchors(data: np.ndarray, off: np.ndarray) -> list[Fingerprint]:
+    """(hashes ascending, positions) of all of each text's closed syncmers, of equal ones the first."""
     n = len(off) - 1
     sums = C.prefix(C.BYTE_KEYS[data])
     pos = np.zeros(0, np.int64)
@@ -51,39 +59,45 @@ def anchors(data: np.ndarray, off: np.ndarray) -> list[tuple[list[int], list[int
     edge = np.searchsorted(doc, np.arange(n + 1))
     out = []
     for d in range(n):
-        a, b = int(edge[d]), min(int(edge[d + 1]), int(edge[d]) + SIZE)
-        if a < b:
-            out.append((h[a:b].tolist(), (pos[a:b] - off[d]).tolist()))
-        elif off[d] < off[d + 1]:
-            whole = C.span(sums, off[d : d + 1], off[d + 1 : d + 2])[0] >> np.uint64(16)
-            out.append(([int(whole)], [0]))
+        a, b = int(edge[d]), int(edge[d + 1])
+        if a < b or off[d] == off[d + 1]:
+            out.append((h[a:b], pos[a:b] - off[d]))
         else:
-            out.append(([], []))
+            out.append((C.span(sums, off[d : d + 1], off[d + 1 : d + 2]) >> np.uint64(16), np.zeros(1, np.int64)))
     return out
 
 
-def as_text(f: tuple[list[int], list[int]]) -> str:
-    return " ".join([f"{h:012x}.{p}" for h, p in zip(*f, strict=True)])
+def as_text(f: Fingerprint) -> str:
+    x = np.empty(len(f[0]), ANCHOR)
+    x["low"], x["high"], x["pos"] = f[0] & np.uint64(0xFFFFFFFF), f[0] >> np.uint64(32), f[1]
+    return base64.b64encode(x.tobytes()).decode()
 
 
-def likeness(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> float:
-    """Share of the smallest hashes of both that both have in the same order."""
-    if a == b:
-        return 1.0
-    where = dict(zip(*b, strict=True))
-    pairs = [(p, where[h], h) for h, p in zip(*a, strict=True) if h in where]
-    if not pairs:
-        return 0.0
-    both = sorted({*a[0], *b[0]})[:SIZE]
-    last = both[-1]
-    chain: list[int] = []
-    for _, q, _ in sorted(x for x in pairs if x[2] <= last):
-        k = bisect_left(chain, q)
-        chain[k : k + 1] = [q]
-    return len(chain) / len(both)
+def parse(text: str) -> Fingerprint:
+    x = np.frombuffer(base64.b64decode(text), ANCHOR)
+    return x["low"].astype(np.uint64) | (x["high"].astype(np.uint64) << np.uint64(32)), x["pos"].astype(np.int64)
 
 
-def _fingerprints(texts: list[bytes]) -> list[tuple[list[int], list[int]]]:
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Share of the anchors of both that both have in the same order."""
+    if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
+        return 1.0
+    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    follow = b[1][j][np.argsort(a[1][i])]
+    if (follow[1:] > follow[:-1]).all():
+        n = len(follow)
+    else:
+        chain: list[int] = []
+        for q in follow.tolist():
+            k = bisect_left(chain, q)
+            chain[k : k + 1] = [q]
+        n = len(chain)
+    return n / (len(a[0]) + len(b[0]) - len(both))
+
+
+def _fingerprints(texts: list[bytes]) -> list[Fingerprint]:
     data, off = C.flat(pa.array(texts, pa.large_binary()))
     out = []
     for i, j in C.blocks(off, 2 << 20):
@@ -163,9 +177,16 @@ def _compare(batches):
     for batch in batches:
         kept += [(i, t or "", g) for i, t, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         own = sum(not g for _, _, g in kept)
-        if own > 1:
-            yield rows(kept[: own - 1], kept[own - 1][1])
-            kept = kept[own - 1 :]
+        at = 0
+        while at < own - 1:
+            # some MB of texts at a time: fingerprints outgrow them
+            to, size = at, 0
+            while to < own - 1 and size < C.BLOCK:
+                size += len(kept[to][1])
+                to += 1
+            yield rows(kept[at:to], kept[to][1])
+            at = to
+        kept = kept[at:]
     if kept and not kept[0][2]:
         yield rows(kept[:1], kept[1][1])
 

@@ -317,6 +317,22 @@ def test_syncmers_against_brute_force():
             assert len(h) == bool(t)
 
 
+def test_long_texts_keep_every_anchor():
+    rng = random.Random(14)
+    many = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5000)]
+    shared = prose(rng, 45, many)
+    a, b = (prose(rng, 1200, many) + " " + shared + " " + prose(rng, 1200, many) for _ in range(2))
+    f, g, own = fingerprints._fingerprints([a.encode(), b.encode(), shared.encode()])
+    assert len(f[0]) > 1.5 / 17 * len(a)
+    shift = lambda x, t: set(zip(x[0].tolist(), (np.array(x[1]) - t.index(shared)).tolist(), strict=True))
+    assert len(own[0]) > 20 and shift(own, shared) <= shift(f, a) & shift(g, b)
+    assert fingerprints.likeness(f, g) >= len(own[0]) / (len(f[0]) + len(g[0]))
+    assert list(zip(*map(np.ndarray.tolist, f), strict=True)) == brute_anchors(a.encode())
+    assert all(map(np.array_equal, fingerprints.parse(fingerprints.as_text(f)), f))
+    h = np.array([1, 2, 3, 4], np.uint64)
+    assert fingerprints.likeness((h, np.array([10, 20, 30, 40])), (h, np.array([20, 10, 30, 40]))) == 3 / 4
+
+
 def test_fingerprints_of_neighbours(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(0, 120))) for i in range(0, 90, 2)] + [(200, None), (201, ""), (202, "é"), (203, "same " * 50), (204, "same " * 50)]
