@@ -3,7 +3,8 @@
 Two order-1 character models, one of random strings, one of ordinary identifiers, are trained on labelled samples
 (below: seeded random strings of several alphabets, and identifiers put together from common words). A token of 20
 or more characters whose mean log-likelihood ratio per transition exceeds THRESHOLD is a span of kind `markov`,
-unless it overlaps a base span or is the tail of a mail address.
+unless it overlaps a base span or lies in a mail address: a local part, @ and a domain with a dot, other than the
+credentials and host of a URL.
 
 Scale: one scan without a shuffle; RE2 (through Arrow) picks the texts that can match at all, Python's regular
 expressions then read those texts whole.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so this is [0-9a-f]+ of 16 or more
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+USER = re.compile(r"://[^\s/?#]*@")
 MAY_MATCH = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9+/_=-]{20}"""
 THRESHOLD = 0.9
 
@@ -97,17 +101,28 @@ def model() -> Markov:
     return _model[0]
 
 
+def mails(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all mail addresses. What stands before a URL's host is a credential, not a local part."""
+    if "@" not in text:
+        return []
+    users = {m.end() - 1 for m in USER.finditer(text)}
+    return [m.span() for m in MAIL.finditer(text) if text.index("@", m.start()) not in users]
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets by start, then kind."""
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     taken = [(a, b) for _, a, b in out]
+    mail = mails(text)
+    begin = [x for x, _ in mail]
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if any(a < y and x < b for x, y in taken) or text[b : b + 1] == "@" or text[a - 1 : a] in ("@", "."):
+        k = bisect_right(begin, a)
+        if (k and b <= mail[k - 1][1]) or any(a < y and x < b for x, y in taken):
             continue
-        if len(set(m[0])) >= 8 and any(c.isdigit() for c in m[0]) and model().score(m[0]) > THRESHOLD:
+        if len(set(m[0])) >= 8 and model().score(m[0]) > THRESHOLD:
             out.append(("markov", a, b))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
