@@ -2,10 +2,13 @@
 
 Two GRUs of HIDDEN units read windows of WINDOW bytes from both ends; a softmax over the joined states labels
 every position, and a document's probabilities pool all its positions by geometric mean. Training is numpy
-back-propagation through time (Adam) on the driver, over windows from anywhere in at most SAMPLE labelled
-documents outside the held-out fold (chosen by hash of doc_id). Prediction reads every byte of every text.
+back-propagation through time (Adam) on the driver, over windows from anywhere in a sample of the labelled documents
+outside the held-out fold: of each of the L languages, all that the labels name, the SAMPLE // L + 1 documents of
+smallest hash (of doc_id and text; equal ones count once), so SAMPLE + L at most. Prediction reads every byte of
+every text.
 
-Scale: the sample is a filter by hash and a limit; prediction is one scan without a shuffle, the weights a few KB.
+Scale: the sample is a filter by hash, cut to size on the driver, which gets about 1.3 * SAMPLE + 22 * L texts;
+prediction is one scan without a shuffle, the weights a few KB.
 
 Defined results: `und` with score 0 for null texts and texts without a letter; null lang rows aren't learned
 from; without any labelled row all are `und`; repeated rows give equal rows; null ids are in the training fold
@@ -14,6 +17,8 @@ and pass through; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Labelled documents to learn from at most; steps and windows a step.
+#: Labelled documents to learn from, dealt evenly to the languages; steps and windows a step.
 SAMPLE, STEPS, BATCH = 1600, 350, 192
 HIDDEN, WINDOW = 8, 96
 
@@ -113,7 +118,7 @@ class ByteGru:
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         for i in range(steps if live else 0):
-            y = np.array([live[j % len(live)] for j in range(batch)])
+            y = np.array([live[(i * batch + j) % len(live)] for j in range(batch)])
             x, mask = np.full((WINDOW, batch), 32, np.intp), np.zeros((WINDOW, batch), np.float32)
             for j, k in enumerate(y.tolist()):
                 t = by[k][rng.integers(len(by[k]))]
@@ -158,22 +163,35 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame) -> ByteGru | None:
-    """A network fitted on at most SAMPLE rows with a lang outside fold 0."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.fold() != 0))
-    per = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()
+def sample(docs: DataFrame) -> list[tuple[str, str]]:
+    """(lang, text) to learn from: every language outside fold 0, SAMPLE // languages + 1 documents of each at most."""
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (C.fold() != 0)).select("lang", "text", rank.alias("r"))
+    per = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("r").alias("first")).collect()
     if not per:
+        return []
+    each = SAMPLE // len(per) + 1
+    # no language goes without a row
+    bounds = [(p["lang"], max(p["first"], int(min(1.0, (1.3 * each + 20) / p["n"]) * (1 << 62)))) for p in per]
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"))
+    rows = known.join(bounds, "lang").where("r <= bound").groupBy("lang", "r").agg(F.min("text").alias("text")).collect()
+    out, taken = [], Counter()
+    for x in sorted(rows, key=lambda x: (x["r"], x["lang"])):
+        if taken[x["lang"]] < each:
+            taken[x["lang"]] += 1
+            out.append((x["lang"], x["text"]))
+    return out
+
+
+def train(docs: DataFrame) -> ByteGru | None:
+    """A network fitted on a sample of the rows with a lang outside fold 0."""
+    rows = sample(docs)
+    if not rows:
         return None
-    langs = sorted(r["lang"] for r in per)
-    each = SAMPLE // len(langs) + 1
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = {r["lang"]: min(1.0, 1.3 * each / r["n"] + 20 / r["n"]) for r in per}
-    cond = F.lit(False)
-    for k, v in share.items():
-        cond |= (F.col("lang") == k) & (rank < int(v * (1 << 30)))
-    rows = known.where(cond).select("lang", "text", rank.alias("r"), "doc_id").orderBy("r", "doc_id").limit(2 * SAMPLE).collect()
+    langs = sorted({k for k, _ in rows})
+    index = {k: i for i, k in enumerate(langs)}
     net = ByteGru(langs)
-    net.fit([r["text"].encode() for r in rows], [langs.index(r["lang"]) for r in rows])
+    net.fit([t.encode() for _, t in rows], [index[k] for k, _ in rows])
     return net
 
 

@@ -154,6 +154,36 @@ def test_language_held_out_and_edges(spark):
     assert language.identify(df, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language.ByteGru, "fit", lambda net, texts, labels: seen.extend((net.langs[y], t.decode()) for t, y in zip(texts, labels, strict=True)))
+    rows = [(1000 * k + i, f"words {k} {i}", f"l{k:03}") for k in range(90) for i in range(40)]
+    rows += [(None, f"no id {i}", "l000") for i in range(4000)]  # null ids of one language
+    rows += [(None, "the same", "same")] * 3000 + [(1, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    langs = {k for _, t, k in rows if t}
+    assert language.train(df).langs == sorted(langs)
+    assert {k for k, _ in seen} == langs and len(seen) == len(set(seen)) <= language.SAMPLE + len(langs)
+    each = language.SAMPLE // len(langs) + 1
+    per = {k: sum(x == k for x, _ in seen) for k in langs}
+    assert per.pop("same") == 1 and set(per.values()) == {each}
+    by_id = [t for k, t in seen if k == "l000" and t.startswith("words")]
+    assert len(by_id) < each
+
+
+def test_steps_take_turns_over_many_languages(monkeypatch):
+    seen = set()
+    net = language.ByteGru([f"l{k:03}" for k in range(250)])
+
+    def grads(x, label, mask):
+        seen.update(label.tolist())
+        return 0.0, {k: np.zeros_like(v) for k, v in net.w.items()}
+
+    monkeypatch.setattr(net, "grads", grads)
+    net.fit([b"abc"] * 250, list(range(250)), steps=2)
+    assert seen == set(range(250))
+
+
 def test_gradients_by_differences():
     net = language.ByteGru(["a", "b"], seed=1)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
