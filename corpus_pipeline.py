@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm import common as C
@@ -30,11 +29,16 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id; documents without an id all stay."""
-    kept = near_dedup.near_groups(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    some = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    first = some.withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_n = 1").select(docs.columns)
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each near-duplicate group stays, that of the smallest doc_id (null last). A document is an id with its text, so rows
+    that share an id, or have none, are compared by what they say; rows of the same id and text are one document."""
+    columns = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    groups = near_dedup.near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("_key").alias("key"))
+    ids = keyed.groupBy("_key").agg(F.min(order).alias("_order"))
+    kept = ids.join(groups, "_key").groupBy("_group").agg(F.min("_order").alias("_order")).select(F.col("_order.key").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(columns)
 
 
 def benchmark_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -500,3 +500,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert r.text.endswith("[assign]") and r.n_chars == len(r.text)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == ids and all(len(r.ids) == r.n_tokens for r in out)
+
+
+def test_near_stage_tells_texts_of_one_id_apart(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(15)
+    a, b, c, d, e = (prose(rng, 60) for _ in range(5))
+    near = b.rsplit(" ", 1)[0]
+    rows = [(5, a), (5, b), (7, b), (8, c), (8, c), (None, d), (None, d), (None, e), (None, near), (9, a + " more")]
+    docs = frame(spark, rows)
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(5, a), (5, b), (8, c), (0, d), (0, e)])
