@@ -114,7 +114,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Pair | None:
         rest = {w: n for w, n in rest.items() if not w.startswith(x)}
     toxic_part = "".join(reversed(parts)).encode() + b" "
     # ordinary: the trainer's choice from ordinary windows
-    samples = [(" " + " ".join(t.lower().split()[i : i + 16]) + " ").encode() for t in ordinary[:800] for i in range(0, min(len(t.split()), 320), 16)]
+    samples = [(" " + " ".join(w[i : i + 16]) + " ").encode() for w in (t.lower().split() for t in ordinary) for i in range(0, len(w), 16)]
     try:
         base = zstandard.train_dictionary(CONTENT, samples).as_bytes()[-CONTENT + 600 :]
     except zstandard.ZstdError:  # too few samples to train on: the samples themselves

@@ -342,6 +342,16 @@ def test_toxicity_held_out_and_edges(spark):
     assert toxicity.score_documents(docs, toxicity.fit([], [])).where("score > 0").count() == 0
 
 
+def test_ordinary_dictionary_is_trained_on_all_words_of_the_sample(monkeypatch):
+    seen = []
+    train = toxicity.zstandard.train_dictionary
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: (seen.extend(samples), train(size, samples))[1])
+    rng = random.Random(12)
+    ordinary = [prose(rng, 20) for _ in range(899)] + [prose(rng, 400) + " lastword"]
+    toxicity.fit([prose(rng, 10) + " vilewort" for _ in range(30)], ordinary)
+    assert b" ".join(seen).split() == " ".join(ordinary).encode().split()
+
+
 # -- 8
 
 
