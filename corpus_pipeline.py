@@ -18,44 +18,56 @@ from lodestone.llm import contamination, language, near_dedup, pieces, secrets
 LEAST_SURE = 0.35
 
 
+def own_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language is unsure. An unlabelled corpus keeps all texts with letters."""
+    """Rejects documents without a letter (null and empty texts too) and those whose language is unsure: texts that mix languages evenly
+    or resemble none that was learned. An unlabelled corpus keeps all texts with letters. Rows are judged one by one."""
     net = language.train(docs)
     C.tune(spark)
     if net is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    seen = docs.withColumn("_seen", language.label_texts(net)("text"))
-    return seen.where((F.col("_seen.lang_pred") != "und") & (F.col("_seen.score") >= LEAST_SURE)).select(docs.columns)
+    seen = own_name(docs, "seen")
+    both = docs.withColumn(seen, language.label_texts(net)("text"))
+    return both.where((F.col(f"{seen}.lang_pred") != "und") & (F.col(f"{seen}.score") >= LEAST_SURE)).select(docs.columns)
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays, that of the smallest doc_id (null last). A document is an id with its text, so rows
-    that share an id, or have none, are compared by what they say; rows of the same id and text are one document."""
+    that share an id, or have none, are compared by what they say; rows of the same id and text are one document. Null and empty
+    texts resemble nothing: one row of each id stays."""
     columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    groups = near_dedup.near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    groups = groups.groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_group"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("_key").alias("key"))
-    ids = keyed.groupBy("_key").agg(F.min(order).alias("_order"))
-    kept = ids.join(groups, "_key").groupBy("_group").agg(F.min("_order").alias("_order")).select(F.col("_order.key").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(columns)
+    key = own_name(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    groups = near_dedup.near_groups(keyed.select(F.col(key).alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col(key).alias("key"))
+    ids = keyed.groupBy(key).agg(F.min(order).alias("order"))
+    kept = ids.join(groups, key).groupBy("group").agg(F.min("order").alias("order")).select(F.col("order.key").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(columns)
 
 
 def benchmark_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a test item go."""
+    """Documents that hold a copy of a test item go. Null and empty texts hold none and stay; so do all where there are no items."""
     C.tune(spark)
     blocks = contamination.prepare(docs, C.table(spark, sf_dir, "benchmark"))
     return docs.where(~contamination.holds_copy(blocks)("text")) if blocks else docs
 
 
 def secret_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; n_chars follows."""
+    """Secrets are replaced by their kind; n_chars follows. A null text stays null, and so does its n_chars."""
     C.tune(spark)
     return docs.withColumn("text", secrets.redact("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def token_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each document, with their digests."""
+    """Ids and decoded text of each document, with their digests. Null texts count as empty ones: no ids."""
     import public_tokenizers
 
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))

@@ -10,8 +10,12 @@ Scale: exact copies (equal sets) collapse first by a partial aggregation. A buck
 member, to its smallest, never all pairs. Components of these edges are blocks; sets meet only inside a
 block, large blocks are cut into chunk pairs of bounded size, and each task returns a spanning forest.
 
-Defined results: null and word-less texts have no shingles and no links; repeated rows are copies; rows that
-share a doc_id (all null ids are one) are one document; extra columns are ignored; an empty table gives none.
+Nodes are classes of equal sets, numbered once and checkpointed, so rows that share a doc_id but not a set keep apart
+and every class is compared by a text of its own.
+
+Defined results: null and word-less texts have no shingles and no links; repeated rows are copies; rows that share a
+doc_id are documents of their own, linked by their texts alone; a null doc_id comes before all others as the smallest
+of a group; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -90,12 +94,13 @@ def _sketch(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i).cast(pa.int64()),
+                        batch.column(2).slice(i, j - i),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([int(x.sum(dtype=np.uint64).view(np.int64)) for x in sets], pa.int64()),
                         pa.array([int(np.bitwise_xor.reduce(C.mix(x)).view(np.int64)) if len(x) else 0 for x in sets], pa.int64()),
                         pa.array([None if e else list(r) for e, r in zip(empty, keys.tolist(), strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                    ["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands"],
                 )
 
     return run
@@ -103,8 +108,8 @@ def _sketch(k: int):
 
 def _packed(batches):
     for batch in batches:
-        col = C.as_binary(batch.column(1)).fill_null(b"")
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([C.pack(x) for x in col.to_pylist()], pa.binary())], ["node", "z"])
+        col = C.as_binary(batch.column(2)).fill_null(b"")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([C.pack(x) for x in col.to_pylist()], pa.binary())], ["id", "text_hash", "z"])
 
 
 class Forest:
@@ -219,38 +224,49 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def with_hot(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """many joined with one, whose keys are unique and whose column n counts the rows that they have in many.
+
+    Keys with a thousandth of all rows or more (so 1000 at most) are joined by broadcast, the rest by shuffle."""
+    total = one.agg(F.sum("n")).first()[0] or 0
+    big = F.col("n") >= max(LARGE, total / 1000)
+    hot = F.broadcast(one.where(big).drop("n"))
+    return many.join(hot, keys).unionByName(many.join(hot, keys, "left_anti").join(one.where(~big).drop("n"), keys, how))
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     C.tune(spark)
-    docs = docs.select("doc_id", "text")
-    sk = docs.mapInArrow(_sketch(shingle_words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sk = docs.mapInArrow(_sketch(shingle_words), "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>")
     sk = C.cut(sk.withColumn("id", F.coalesce("doc_id", F.lit(C.NULL_ID))))
     some = sk.where("n_shingles > 0")
     # one row for each class of equal sets; copies meet in partial aggregations, not in a join
-    reps = C.cut(some.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands"), F.count("*").alias("n")))
-    # rows that share a doc_id but not a text: the id stands for each of its sets
-    classes = reps.select("k1", "k2", "node", "n")
+    reps = some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "text_hash"), "id").alias("one"), F.count("*").alias("n"))
+    reps = C.cut(reps.select("k1", "k2", "id", "n", "one.*", F.monotonically_increasing_id().alias("node")))
+    classes = reps.select("k1", "k2", "id", "node", "n")
     rows = reps.select("node", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1")
     block = components(rows.join(least, "band").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct())
     members = block.union(block.select("root", "root").distinct()).toDF("node", "block")
     sizes = members.groupBy("block").agg(F.count("*").alias("m"))
     members = members.join(sizes, "block").withColumn("k", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    own = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("node"), "text").mapInArrow(_packed, "node long, z binary")
-    held = own.join(members, "node").dropDuplicates(["node"])
+    members = members.join(reps.select("node", "id", "text_hash"), "node")
+    own = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("id"), "text_hash", "text").mapInArrow(_packed, "id long, text_hash long, z binary")
+    held = own.join(members, ["id", "text_hash"]).dropDuplicates(["node"])
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, "chunk").alias("i"), F.greatest(o, "chunk").alias("j")))).alias("p")
     meet = held.select("block", "chunk", "node", "z", pair).select("block", "p.i", "p.j", "chunk", "node", "z")
     meet = meet.repartition(C.shards(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
     root = components(meet.mapInArrow(_confirm(shingle_words, percent), "a long, b long"))
-    # a class that holds a thousandth of all rows or more is joined by broadcast (at most 1000 of them), the rest by shuffle
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    big = F.col("n") >= max(LARGE, total / 1000)
-    at = lambda c: c.join(root, "node", "left").select("k1", "k2", "node", "root")
-    hot = F.broadcast(at(classes.where(big)))
-    out = sk.join(hot, ["k1", "k2"]).unionByName(sk.join(hot, ["k1", "k2"], "left_anti").join(at(classes.where(~big)), ["k1", "k2"], "left"), allowMissingColumns=True)
-    comp = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("root", "node"))
-    comp = F.when(comp != C.NULL_ID, comp)
+    # the smallest id of each group of classes; a class without links stands for itself
+    root = root.union(root.select("root", "root").distinct())
+    grouped = root.join(reps.select("node", "id"), "node")
+    firsts = grouped.groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    root = with_hot(grouped.select("node", "root"), firsts, ["root"], "inner").select("node", "first")
+    named = classes.join(root, "node", "left").select("k1", "k2", "n", F.coalesce("first", "id").alias("first"))
+    out = with_hot(some, named, ["k1", "k2"], "left").unionByName(sk.where("n_shingles = 0").withColumn("first", F.col("id")))
+    comp = F.when(F.col("first") != C.NULL_ID, F.col("first"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.col("doc_id").isNull() & comp.isNull()).alias("kept"))
 
 

@@ -146,7 +146,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
         few = known.where((F.col("toxic") == k) & (rank < int(min(1.0, 1.3 * SAMPLE / max(1, n.get(k, 0))) * (1 << 30)))).select("doc_id").distinct().orderBy(rank, "doc_id").limit(SAMPLE)
         ids = [r[0] for r in few.collect()]
         chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").where(F.col("text").isNotNull()).collect()
+        # one text for each sampled id, whatever the number of rows that share it
+        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).where(F.col("text").isNotNull()).collect()
         out.append([r["text"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
     return out[0], out[1]
 

@@ -473,6 +473,21 @@ def test_near_groups(spark, monkeypatch, k, percent, chunk):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_groups_of_rows_that_share_an_id(spark):
+    rng = random.Random(29)
+    rows, want = [], []
+    for g in range(6):
+        a, b = prose(rng, 60), prose(rng, 60)
+        first = 10 * g
+        rows += [(first, a), (first, b), (first + 1, b + " more"), (first + 2, a + " more")]
+        want += [(first, first), (first, first), (first + 1, first), (first + 2, first)]
+    rows += [(None, prose(rng, 50)), (None, None), (700, "x y " * 40_000), (701, "x y " * 40_000)]
+    want += [(None, None), (None, None), (700, 700), (701, 700)]
+    for parts in (1, 5):
+        got = near_dedup.near_groups(frame(spark, rows, parts), 3, 85).collect()
+        assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, want))
+
+
 def test_near_groups_of_nothing(spark):
     assert near_dedup.near_groups(frame(spark, [], 1)).count() == 0
 
