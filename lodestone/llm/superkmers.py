@@ -5,7 +5,12 @@ share a minimiser (the smallest hash of their M-unit grams) travel as one packed
 bucket, where all equal windows meet. What a task has already seen twice it settles itself: of equal packed
 strings one travels. Minimisers that hold more than a fair share of the corpus (counted over all of it in a
 first pass; at most 2 * max(P, 1000) of them, so the list that is shipped has a proven bound) are split: their
-windows travel alone, as 128-bit digests, pre-aggregated by task, to the digest's own bucket.
+windows travel alone, as 128-bit cryptographic digests (BLAKE2b), pre-aggregated by task, to the digest's own bucket.
+
+Memory: partitions are as many as the texts' bytes ask for (ROOM each), and a partition is read bin by bin (BIN each),
+sorted by Spark, so a task holds one bin, however large the corpus. The first pass estimates a minimiser's weight
+without bias: a task reports a count of FEW or more as it is, a smaller one n as FEW with probability n / FEW. The
+estimates only decide how a window travels, never what is found.
 
 A task's answer is removed unit ranges by document (id, tag): tag is a hash of the text, so that rows which
 share a doc_id keep apart. Ranges join back to the documents by that key.
@@ -13,6 +18,8 @@ share a doc_id keep apart. Ranges join back to the documents by that key.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +31,13 @@ from . import common as C
 FLUSH = 16 << 20
 #: Bytes of text that numpy works on at once.
 PIECE = 2 << 20
-#: Reduce partitions for each shuffle partition: a bucket partition holds all windows of its minimisers in memory.
-SPREAD = 4
+#: Reduce partitions for each shuffle partition, at least; bytes of packed strings of a partition, and of a bin in it, about.
+SPREAD, ROOM, BIN = 4, 256 << 20, 12 << 20
+#: Bytes of packed strings for each byte of text, about.
+PACKED = 3.5
+#: Counts of a task that are reported as they are.
+FEW = 16
 
-_rng = np.random.default_rng(97)
-BYTE_KEYS_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ENTRY = [("key", "<u4"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i4"), ("size", "<i4"), ("many", "u1")]
 ALONE = [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("many", "u1")]
 SPAN = [("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("end", "<i4")]
@@ -37,10 +46,14 @@ SPAN = [("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("end", "<i4")]
 class Words:
     """Units are words [^\\x20\\x09-\\x0D]+; their text is the words joined by single spaces."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray = C.BYTE_KEYS):
-        self.data, self.keys = data, keys
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data = data
         self.starts, self.ends, self.off = C.words(data, off)
-        self.sums = C.prefix(C.span(C.prefix(keys[data]), self.starts, self.ends))
+        self.sums = C.prefix(C.span(C.prefix(C.BYTE_KEYS[data]), self.starts, self.ends))
+
+    def edges(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and end byte of the n units from each place on."""
+        return self.starts[at], self.ends[at + n - 1]
 
     def text(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The text with one separator after each word, and each word's start and end in it."""
@@ -60,9 +73,12 @@ class Words:
 class Bytes:
     """Units are bytes."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray = C.BYTE_KEYS):
-        self.data, self.off, self.keys = data, off, keys
-        self.sums = C.prefix(keys[data])
+    def __init__(self, data: np.ndarray, off: np.ndarray):
+        self.data, self.off = data, off
+        self.sums = C.prefix(C.BYTE_KEYS[data])
+
+    def edges(self, at: np.ndarray, n: int):
+        return at, at + n
 
     def text(self):
         n = np.arange(len(self.data))
@@ -72,10 +88,11 @@ class Bytes:
 class Match:
     """What is matched: the kind of unit, the window and the gram that minimisers are made of.
 
-    later: only windows that also start earlier go (by id, then start); else all windows that occur twice."""
+    later: only windows that also start earlier go (by id, then start); else all windows that occur twice.
+    whole: a bin's packed strings are looked at together, in order of arrival; else some minimisers at a time."""
 
-    def __init__(self, unit: type, window: int, gram: int, later: bool):
-        self.unit, self.window, self.gram, self.later = unit, window, gram, later
+    def __init__(self, unit: type, window: int, gram: int, later: bool, whole: bool = False):
+        self.unit, self.window, self.gram, self.later, self.whole = unit, window, gram, later, whole
 
 
 def hashes(u, n: int) -> np.ndarray:
@@ -122,7 +139,9 @@ def _batches(batches):
 
 
 def _count(m: Match, least: float):
-    """Minimisers that hold at least the share `least` of a group's distinct packed strings, and the number of these (k null)."""
+    """Minimisers with the number of their packed strings, distinct ones of a group, and that of all (k null).
+
+    Small counts are rounded to 0 or FEW at random, by the key and the group, so that their expectation stays."""
 
     def run(batches):
         for group in _batches(batches):
@@ -135,8 +154,11 @@ def _count(m: Match, least: float):
             keys, same = np.concatenate(keys), np.concatenate(same)
             _, one = np.unique(same, return_index=True)
             key, n = np.unique(keys[one], return_counts=True)
-            big = n >= max(2, least * len(one))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *key[big].view(np.int64).tolist()], pa.int64()), pa.array([len(one), *n[big].tolist()], pa.int64())], ["k", "n"])
+            few = max(FEW, least * len(one) / 4)
+            coin = C.mix(key ^ C.mix(same[:1] if len(same) else np.zeros(1, np.uint64))) >> np.uint64(11)
+            n = np.where(n >= few, n, np.where(coin < n / few * 2.0**53, np.ceil(few), 0)).astype(np.int64)
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array([None, *key[some].view(np.int64).tolist()], pa.int64()), pa.array([len(one), *n[some].tolist()], pa.int64())], ["k", "n"])
 
     return run
 
@@ -149,8 +171,8 @@ def _spans(rows) -> bytes:
     return _pack(2, np.array(rows, SPAN).tobytes())
 
 
-def _send(m: Match, parts: int, hot: np.ndarray):
-    """Documents -> (part, data): packed strings (kind 0), single windows (1) and ranges already settled (2)."""
+def _send(m: Match, parts: int, hot: np.ndarray, bins: int = 1):
+    """Documents -> (part, bin, data): packed strings (kind 0), single windows (1) and ranges already settled (2)."""
 
     def settle(group):
         keys, metas, texts, gone = [], [], [], []
@@ -193,19 +215,19 @@ def _send(m: Match, parts: int, hot: np.ndarray):
             out: list[tuple[int, bytes]] = []
             is_hot = np.isin(keys, hot)
             for x in _alone(m, np.flatnonzero(is_hot).tolist(), metas, texts, gone):
-                part = (x["h1"] % np.uint64(parts)).astype(np.int64)
+                part = (x["h1"] % np.uint64(parts * bins)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 edge = np.flatnonzero(np.diff(part[order], prepend=-1))
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
                     out.append((int(part[order[a]]), _pack(1, x[order[a:b]].tobytes())))
-            part = (C.mix(keys) % np.uint64(parts)).astype(np.int64)
-            part[is_hot] = parts
+            part = (C.mix(keys) % np.uint64(parts * bins)).astype(np.int64)
+            part[is_hot] = parts * bins
             order = np.argsort(part, kind="stable")
             edge = np.flatnonzero(np.diff(part[order], prepend=-1))
             short = (keys >> np.uint64(32)).astype(np.uint32)
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
                 p = int(part[order[a]])
-                if p == parts:
+                if p == parts * bins:
                     continue
                 few = order[a:b].tolist()
                 e = np.zeros(len(few), ENTRY)
@@ -218,9 +240,10 @@ def _send(m: Match, parts: int, hot: np.ndarray):
             gone.sort()
             step = max(1, len(gone) // parts)
             for a in range(0, len(gone), max(step, 1000)):
-                out.append((gone[a][0] % parts, _spans(gone[a : a + max(step, 1000)])))
+                out.append((gone[a][0] % (parts * bins), _spans(gone[a : a + max(step, 1000)])))
             for a in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out[a : a + 64]], pa.int32()), pa.array([b for _, b in out[a : a + 64]], pa.binary())], ["part", "data"])
+                to = np.array([p for p, _ in out[a : a + 64]], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(to % parts, pa.int32()), pa.array(to // parts, pa.int32()), pa.array([b for _, b in out[a : a + 64]], pa.binary())], ["part", "bin", "data"])
 
     return run
 
@@ -237,14 +260,15 @@ def _alone(m: Match, few: list[int], metas, texts, gone):
         body = b"\n".join(texts[k] for k in part) if m.unit is Words else b"".join(texts[k] for k in part)
         data = np.frombuffer(body, np.uint8)
         off = np.array([0, len(data)])
-        h1, h2 = hashes(m.unit(data, off), m.window), hashes(m.unit(data, off, BYTE_KEYS_2), m.window)
         meta = np.array([metas[k] for k in part], np.int64)
         n = meta[:, 3]
         base = np.cumsum(n + m.window - 1) - n - m.window + 1
         e = np.repeat(np.arange(len(part)), n)
         k = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
         x = np.zeros(len(e), ALONE)
-        x["h1"], x["h2"] = h1[base[e] + k], h2[base[e] + k]
+        begin, end = m.unit(data, off).edges(base[e] + k, m.window)
+        digest = b"".join([hashlib.blake2b(body[p:q], digest_size=16).digest() for p, q in zip(begin.tolist(), end.tolist(), strict=True)])
+        x["h1"], x["h2"] = np.frombuffer(digest, "<u8").reshape(-1, 2).T
         x["id"], x["tag"], x["start"], x["many"] = meta[e, 0], meta[e, 1], meta[e, 2] + k, meta[e, 4]
         keep, lost = _first(x, m)
         for y in _ranges(x[lost], m.window):
@@ -315,10 +339,7 @@ class Bucket:
         k = np.arange(len(self.entry)) - np.repeat(np.cumsum(n) - n, n)
         at = base[self.entry] + k
         self.h = h[at]
-        if m.unit is Words:
-            self.begin, self.end = u.starts[at], u.ends[at + m.window - 1]
-        else:
-            self.begin, self.end = at, at + m.window
+        self.begin, self.end = u.edges(at, m.window)
         self.e, self.k = e, k
         self.many = e["many"][self.entry] > 0
 
@@ -340,13 +361,12 @@ class Bucket:
 
 
 def _gather(m: Match, find):
-    """(part, data) rows of one partition -> (id, tag, ranges). find(bucket) gives the windows that go."""
+    """(part, bin, data) rows of one partition, by bin -> (id, tag, ranges). find(bucket) gives the windows that go."""
 
-    def run(batches):
+    def settle(rows):
         blobs, alone, spans = [], [], []
-        for batch in batches:
-            for b in batch.column(1).to_pylist():
-                (blobs, alone, spans)[b[0]].append(b[1:])
+        for b in rows:
+            (blobs, alone, spans)[b[0]].append(b[1:])
         spans = [np.frombuffer(C.unpack(b), SPAN) for b in spans]
         metas, texts = [], []
         for b in blobs:
@@ -366,14 +386,14 @@ def _gather(m: Match, find):
             _, inv, n = np.unique(e["key"], return_inverse=True, return_counts=True)
             # a packed string alone repeats no window: equal windows have their minimiser at the same offset
             few = np.flatnonzero(n[inv] > 1)
-            order = few[np.argsort(e["key"][few], kind="stable")]
+            order = few if m.whole else few[np.argsort(e["key"][few], kind="stable")]
             cut = np.flatnonzero(np.diff(e["key"][order].astype(np.int64), prepend=-1))
             size = np.cumsum(e["size"][order].astype(np.int64))
             lo = 0
             while lo < len(order):  # whole minimisers, about 4 PIECE of text at a time
                 room = np.searchsorted(size, (size[lo - 1] if lo else 0) + 4 * PIECE, side="right")
                 i = np.searchsorted(cut, max(room, lo + 1), side="left")
-                hi = int(cut[i]) if i < len(cut) else len(order)
+                hi = int(cut[i]) if i < len(cut) and not m.whole else len(order)
                 part = order[lo:hi]
                 bucket = Bucket(e[part], [texts[k] for k in part.tolist()], m)
                 spans.append(_ranges(bucket.windows(find(bucket)), m.window))
@@ -385,6 +405,18 @@ def _gather(m: Match, find):
         if spans:
             yield from _rows(np.concatenate(spans))
 
+    def run(batches):
+        rows, at = [], None
+        for batch in batches:
+            for k, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != at and rows:
+                    yield from settle(rows)
+                    rows = []
+                at = k
+                rows.append(b)
+        if rows:
+            yield from settle(rows)
+
     return run
 
 
@@ -418,14 +450,18 @@ def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
 def removed_ranges(docs: DataFrame, m: Match, find) -> DataFrame:
     """id, tag, ranges of documents (id, tag, text) that lose units; several rows a document."""
     spark = docs.sparkSession
-    parts = SPREAD * C.shards(spark)
+    packed = PACKED * (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = max(SPREAD * C.shards(spark), int(packed / ROOM) + 1)
+    bins = int(packed / parts / BIN) + 1
     share = 1 / (2 * max(parts, 1000))
     seen = docs.mapInArrow(_count(m, share), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     rows = C.cut(seen)
     total = rows.where("k IS NULL").agg(F.sum("n")).first()[0] or 0
-    # at most 1 / share keys can hold so much
+    # about 1 / share keys can hold so much
     hot = np.array(sorted(r[0] for r in rows.where((F.col("n") >= F.lit(max(64.0, share * total))) & F.col("k").isNotNull()).select("k").collect()), np.int64).view(np.uint64)
-    sent = docs.mapInArrow(_send(m, parts, hot), "part int, data binary").repartitionById(parts, "part")
+    sent = docs.mapInArrow(_send(m, parts, hot, bins), "part int, bin int, data binary").repartitionById(parts, "part")
+    if bins > 1:
+        sent = sent.sortWithinPartitions("bin")
     return sent.mapInArrow(_gather(m, find), "id long, tag int, ranges binary")
 
 

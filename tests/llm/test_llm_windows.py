@@ -73,13 +73,13 @@ def how(request, monkeypatch):
     """split: every minimiser counts as one that holds too much; workers are forked after the change."""
     if request.param == "split":
         real = S._send
-        monkeypatch.setattr(S, "_send", lambda m, parts, hot: _all_hot(real, m, parts))
+        monkeypatch.setattr(S, "_send", lambda m, parts, hot, bins: _all_hot(real, m, parts, bins))
     if request.param == "small pieces":
         monkeypatch.setattr(suffixes, "BATCH", 64)
     return request.param
 
 
-def _all_hot(real, m, parts):
+def _all_hot(real, m, parts, bins):
     class Every:
         pass
 
@@ -87,7 +87,7 @@ def _all_hot(real, m, parts):
         isin = np.isin
         np.isin = lambda a, b: np.ones(len(a), bool) if isinstance(b, Every) else isin(a, b)
         try:
-            yield from real(m, parts, Every())(batches)
+            yield from real(m, parts, Every(), bins)(batches)
         finally:
             np.isin = isin
 
@@ -121,13 +121,44 @@ def test_empty_table(spark):
     assert suffixes.drop_repeated_bytes(none).count() == 0
 
 
-def test_levels_merge_and_clashes_are_seen():
-    text = np.frombuffer(b"abcdabcdxyz!abcd", np.uint8)
-    index = suffixes.LogIndex(np.zeros(13, np.uint64), lambda a, b: np.array([bytes(text[x : x + 4]) == bytes(text[y : y + 4]) for x, y in zip(a, b, strict=True)], bool))
-    for i in range(0, 13, 2):
-        index.add(np.arange(i, min(i + 2, 13)))
-    assert [x.rank for x in index.levels] == [2, 1, 0]
-    assert index.clashes
+def suffixes_of(texts, window):
+    body = b"".join(texts)
+    size = [len(t) for t in texts]
+    begin = np.concatenate([np.arange(n - window + 1) + sum(size[:k]) for k, n in enumerate(size) if n >= window])
+    return suffixes.Suffixes(body, begin, np.array([hash(body[i : i + window]) % 2**64 for i in begin.tolist()], np.uint64), window)
+
+
+@pytest.mark.parametrize("window", [3, 8, 9, 13, 40])
+@pytest.mark.parametrize("clash", [False, True])
+def test_levels_are_suffix_arrays(window, clash):
+    rng = np.random.default_rng(window)
+    texts = [bytes(rng.choice(np.frombuffer(b"ab\0", np.uint8), rng.integers(1, 90))) for _ in range(40)]
+    texts += [texts[3] + texts[4], b"a" * 100]
+    s = suffixes_of(texts, window)
+    if clash:
+        s.h = s.h % np.uint64(5)
+    index = suffixes.LogIndex(s)
+    n = len(s.begin)
+    strings = [s.body[i : i + window] for i in s.begin.tolist()]
+    for k, i in enumerate(range(0, n, 64)):
+        index.add(np.arange(i, min(i + 64, n)))
+        assert [x.rank for x in index.levels] == [r for r in range(20, -1, -1) if (k + 1) >> r & 1]
+        for level in index.levels:
+            got = [strings[x] for x in level.at.tolist()]
+            assert got == sorted(got)
+        assert sorted(np.concatenate([x.at for x in index.levels]).tolist()) == list(range(min(i + 64, n)))
+        seen = strings[: i + 64]
+        assert [bool(f) for f in index.found[: i + 64]] == [seen.count(x) > 1 for x in seen]
+
+
+@pytest.mark.parametrize("how", ["plain", "bins"])
+def test_bins_of_a_partition(spark, monkeypatch, how):
+    if how == "bins":
+        monkeypatch.setattr(S, "BIN", 500)
+        monkeypatch.setattr(S, "ROOM", 4000)
+    rows = corpus(5)
+    assert sorted(map(tuple, passages.drop_repeats(frame(spark, rows), full=False).collect()), key=str) == brute5(rows)
+    assert sorted(map(tuple, suffixes.drop_repeated_bytes(frame(spark, rows), full=False).collect()), key=str) == brute10(rows)
 
 
 @pytest.mark.parametrize("kind", [passages.later_windows, suffixes.repeated_windows])
