@@ -9,11 +9,12 @@ itself as one anchor. As text a fingerprint is the base64 form of 10 bytes an an
 hash, 4 of the position (parse() reads it).
 
 For the query each text is also edited: its last third is replaced by the beginning of the next document, by
-descending doc_id. Documents are dealt to range partitions by splits of their ids; the first document of a
+descending doc_id. Documents are dealt to range partitions by splits of their ids, and an id that takes up several
+splits by a hash of the text; equal rows of a batch travel once, with their number. The first document of a
 partition also travels to the one before, so one shuffle of the texts gives each its neighbour.
 
 Defined results: null and empty texts have the fingerprint '' and likeness 1 to one another, 0 to others;
-repeated ids are ordered by text; null ids come last; the only document of a table is its own neighbour; extra
+rows that share an id are ordered by a hash of their texts, descending; null ids come last; the only document of a table is its own neighbour; extra
 columns are ignored; an empty table gives none.
 """
 
@@ -122,48 +123,63 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprint_column, "doc_id long, fingerprint string")
 
 
-def _tops(splits: np.ndarray):
+class Splits:
+    """Parts of documents by (id, hash of the text): an id that is a split k times is dealt to k parts by its hash."""
+
+    def __init__(self, ids: list[int]):
+        self.ids = np.array(sorted(ids), np.int64)
+
+    def __len__(self):
+        return len(self.ids) + 1
+
+    def part(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        return low + ((h >> 10) * (high - low) >> 53)
+
+
+def _tops(splits: Splits):
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            part = np.searchsorted(splits, ids)
-            order = np.lexsort((ids, part))
-            last = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) if len(ids) else order
-            yield pa.RecordBatch.from_arrays([pa.array(part[order[last]], pa.int32()), pa.array(ids[order[last]])], ["part", "top"])
+            ids, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            part = splits.part(ids, h)
+            order = np.lexsort((h, ids, part))
+            last = order[np.append(part[order][1:] != part[order][:-1], True)] if len(ids) else order
+            yield pa.RecordBatch.from_arrays([pa.array(part[last], pa.int32()), pa.array(ids[last]), pa.array(h[last])], ["part", "id", "h"])
 
     return run
 
 
-def _deal(splits: np.ndarray, before: dict[int, int]):
-    """Each row to its part; the largest id of a part also, as a guest, to the part that it follows."""
-    tops = np.array(sorted(before), np.int64)
+def _deal(splits: Splits, before: dict[tuple[int, int], int]):
+    """Each document to its part, equal ones of a batch once; the largest of a part also, as a guest, to the part that it follows."""
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            part = np.searchsorted(splits, ids).astype(np.int32)
-            guest = np.flatnonzero(np.isin(ids, tops))
-            take = pa.array(np.concatenate([np.arange(len(ids)), guest]))
-            to = np.concatenate([part, np.array([before[i] for i in ids[guest].tolist()], np.int32)])
-            flag = np.concatenate([np.zeros(len(ids), bool), np.ones(len(guest), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(flag), batch.column(0).take(take), batch.column(1).take(take)], ["part", "guest", "id", "text"])
+            ids, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            texts = batch.column(2).to_pylist()
+            many: dict[tuple[int, int, str | None], int] = {}
+            for x in zip(ids.tolist(), h.tolist(), texts, strict=True):
+                many[x] = many.get(x, 0) + 1
+            own = list(many)
+            part = splits.part(np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64)).tolist()
+            rows = [(p, False, n, *x) for p, (x, n) in zip(part, many.items(), strict=True)]
+            rows += [(before[x[:2]], True, 1, *x) for x in own if x[:2] in before]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["part", "guest", "n", "id", "h", "text"])
 
     return run
 
 
 def _compare(batches):
-    """Rows of one part by descending id, the guest last."""
-    kept: list[tuple[int, str, bool]] = []
+    """Rows of one part by descending id and hash, the guests last."""
 
     def rows(own, following):
-        texts = [t for _, t, _ in own]
+        texts = [t for _, t, _, _ in own]
         then = [*texts[1:], following]
         new = [edited(a, b) for a, b in zip(texts, then, strict=True)]
         f = _fingerprints([t.encode() for t in [*texts, following, *new]])
         n = len(texts)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([None if i == C.NULL_ID else i for i, _, _ in own], pa.int64()),
+                pa.array([None if x[0] == C.NULL_ID else x[0] for x in own], pa.int64()),
                 pa.array(list(map(len, texts)), pa.int64()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in new]),
                 pa.array([as_text(x) for x in f[:n]], pa.string()),
@@ -174,9 +190,17 @@ def _compare(batches):
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
+    def repeats(x):
+        """All of n equal documents but the last: each is followed by its like."""
+        one = rows([x], x[1])
+        for left in range(x[2] - 1, 0, -C.BATCH_ROWS):
+            yield one.take(pa.array([0] * min(left, C.BATCH_ROWS)))
+
+    kept: list[tuple[int, str, int, bool]] = []
     for batch in batches:
-        kept += [(i, t or "", g) for i, t, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        own = sum(not g for _, _, g in kept)
+        guest, n, ids, texts = (batch.column(c).to_pylist() for c in (1, 2, 3, 5))
+        kept += [(i, t or "", k, g) for i, t, k, g in zip(ids, texts, n, guest, strict=True)]
+        own = sum(not x[3] for x in kept)
         at = 0
         while at < own - 1:
             # some MB of texts at a time: fingerprints outgrow them
@@ -185,9 +209,12 @@ def _compare(batches):
                 size += len(kept[to][1])
                 to += 1
             yield rows(kept[at:to], kept[to][1])
+            for x in kept[at:to]:
+                yield from repeats(x)
             at = to
         kept = kept[at:]
-    if kept and not kept[0][2]:
+    if kept and not kept[0][3]:
+        yield from repeats(kept[0])
         yield rows(kept[:1], kept[1][1])
 
 
@@ -195,16 +222,18 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs."""
     spark = docs.sparkSession
     C.tune(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("id"), "text")
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("id"), h.alias("h"), "text")
     parts = C.shards(spark)
     probs = F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
-    splits = np.array(sorted(set(docs.agg(F.percentile_approx("id", probs, F.lit(10_000)).alias("p")).first()[0] or [])), np.int64)
-    tops = {r["part"]: r["top"] for r in docs.select("id").mapInArrow(_tops(splits), "part int, top long").groupBy("part").agg(F.max("top").alias("top")).collect()}
+    splits = Splits(docs.agg(F.percentile_approx("id", probs, F.lit(10_000)).alias("p")).first()[0] or [])
+    tops = docs.select("id", "h").mapInArrow(_tops(splits), "part int, id long, h long").groupBy("part").agg(F.max(F.struct("id", "h")).alias("top")).collect()
+    tops = {r["part"]: tuple(r["top"]) for r in tops}
     order = sorted(tops)
-    # a part's last document is followed by the largest id of the next lower part; the very last by the first of all
+    # a part's last document is followed by the largest one of the next lower part; the very last by the first of all
     before = {tops[p]: order[(k + 1) % len(order)] for k, p in enumerate(order)}
-    dealt = docs.mapInArrow(_deal(splits, before), "part int, guest boolean, id long, text string").repartitionById(len(splits) + 1, "part")
-    dealt = dealt.sortWithinPartitions("guest", F.desc("id"), "text")
+    dealt = docs.mapInArrow(_deal(splits, before), "part int, guest boolean, n long, id long, h long, text string").repartitionById(len(splits), "part")
+    dealt = dealt.sortWithinPartitions("guest", F.desc("id"), F.desc("h"))
     return dealt.mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

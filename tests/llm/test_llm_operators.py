@@ -429,6 +429,23 @@ def test_fingerprints_of_few_rows(spark):
     assert len(ties) == 3
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fingerprints_of_rows_that_share_an_id(spark, parts):
+    """An id with most of the rows is dealt to several parts; each row is still followed by the next one."""
+    rng = random.Random(16)
+    rows = [(7, prose(rng, rng.randint(5, 30))) for _ in range(60)] + [(7, "again and again " * 4)] * 25 + [(i, prose(rng, 12)) for i in range(0, 20, 3)] + [(None, "none")] * 3
+    docs = frame(spark, rows, parts)
+    order = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()
+    order.sort(key=lambda r: (-(2**63) if r.doc_id is None else r.doc_id, r.h), reverse=True)
+    want = []
+    for r, following in zip(order, [*order[1:], order[0]], strict=True):
+        new = fingerprints.edited(r.text, following.text)
+        f = fingerprints._fingerprints([r.text.encode(), new.encode(), following.text.encode()])
+        want.append((r.doc_id, hashlib.sha256(new.encode()).hexdigest(), fingerprints.as_text(f[0]), fingerprints.likeness(f[0], f[2])))
+    got = [(r.doc_id, r.edited_sha256, r.fingerprint, r.near_next) for r in fingerprints.compare_edited(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 # -- 9
 
 
