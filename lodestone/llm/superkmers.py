@@ -36,7 +36,7 @@ SPREAD, ROOM, BIN = 4, 256 << 20, 12 << 20
 #: Bytes of packed strings for each byte of text, about.
 PACKED = 3.5
 #: Counts of a task that are reported as they are.
-FEW = 16
+FEW = 64
 
 ENTRY = [("key", "<u4"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("count", "<i4"), ("size", "<i4"), ("many", "u1")]
 ALONE = [("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("start", "<i4"), ("many", "u1")]
