@@ -52,10 +52,10 @@ def verify_listing(listing: DataFrame, manifest: DataFrame, path: str, digest: s
     return c.select(path, F.when(F.col("change") == "ADDED", "UNEXPECTED_MEMBER").when(F.col("change") == "REMOVED", "MISSING_MEMBER").otherwise("MEMBER_CHANGED").alias("problem"))
 
 
-def suffixes(parts: Column) -> Column:
-    """All suffixes of an array, itself included, joined by dots."""
+def suffixes(parts: Column, glue: str = ".") -> Column:
+    """All suffixes of an array, itself included, joined by dots or otherwise."""
     n = F.size(parts)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))).otherwise(F.array().cast("array<string>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), glue))).otherwise(F.array().cast("array<string>"))
 
 
 def match_suffixes(names: DataFrame, modules: DataFrame, name: str, parts: str) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import direction
 from lodestone.operators import linking, opportunity
 from lodestone.plans.text_queries import table
-from lodestone.sources import code as C
 
 QUERIES, SQL = {}, {}
 
@@ -22,49 +20,6 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-PACKAGE = {
-    "pkg/util.py": "def helper(x):\n    return x\n\nclass Box:\n    def fill(self):\n        return self.empty()\n    def empty(self):\n        return helper(1)\n",
-    "pkg/main.py": "from pkg.util import helper\nimport pkg.util as u\nimport json\n\ndef run(x):\n    helper(x)\n    u.Box.fill(x)\n    json.dumps(x)\n    missing(x)\n",
-    "other/util.py": "def helper(x):\n    return 0\n",
-}
-READ_ME = "# Use\n\nCall `pkg.util.helper()` or `Box.fill`, see `util.helper`.\n\n```\n`pkg.util.helper`\n```\n\n## More\n\nAlso `pkg.absent.name` and `plain`.\n<!-- `pkg.util.helper` -->\n"
-PHRASES = ["convert rows to columns", "parse entries from text", "celsius -> kelvin", "rows or columns", "how are widgets converted to entries", "nothing here", "render without html to text"]
-
-
-def package(spark):
-    return spark.createDataFrame(sorted(PACKAGE.items()), "source_id string, code string")
-
-
-@query(
-    "call_leads",
-    """SELECT * FROM (VALUES ('pkg/main.py', 'helper', 'DECLARED_IMPORT_CANDIDATE', 1, 'pkg/util.py:helper'), ('pkg/main.py', 'u.Box.fill', 'DECLARED_IMPORT_CANDIDATE', 1, 'pkg/util.py:Box.fill'),
-    ('pkg/main.py', 'json.dumps', 'DECLARED_IMPORT_TARGET_NOT_IN_SNAPSHOT', 0, NULL), ('pkg/main.py', 'missing', 'UNRESOLVED_OR_EXTERNAL', 0, NULL),
-    ('pkg/util.py', 'self.empty', 'SAME_CLASS_CANDIDATE_DYNAMIC_DISPATCH_UNRESOLVED', 1, 'pkg/util.py:Box.empty'), ('pkg/util.py', 'helper', 'LEXICAL_DEFINITION_CANDIDATE', 1, 'pkg/util.py:helper')) t(source_id, name, status, candidates, target)""",
-)
-def call_leads(spark, sf_dir):
-    p = package(spark)
-    return linking.call_leads(C.calls(p), C.definitions(p)).select("source_id", "name", "status", F.col("candidates").cast("int").alias("candidates"), "target")
-
-
-@query(
-    "document_links",
-    """SELECT * FROM (VALUES ('Use', 'pkg.util.helper()', 'linked', 'pkg/util.py:helper'), ('Use', 'Box.fill', 'linked', 'pkg/util.py:Box.fill'), ('Use', 'util.helper', 'ambiguous', NULL), ('More', 'pkg.absent.name', 'unresolved', NULL)) t(heading, reference, state, target)""",
-)
-def document_links(spark, sf_dir):
-    refs = linking.references(spark.createDataFrame([("readme", READ_ME)], "document string, text string"))
-    return linking.link_references(refs, C.definitions(package(spark))).select("heading", "reference", "state", "target")
-
-
-@query(
-    "requested_directions",
-    """SELECT * FROM (VALUES ('convert rows to columns', ['rows'], ['columns']), ('parse entries from text', ['text'], ['entries']), ('celsius -> kelvin', ['celsius'], ['kelvin']), ('rows or columns', NULL, NULL),
-    ('how are widgets converted to entries', ['widgets'], ['entries']), ('nothing here', NULL, NULL), ('render without html to text', NULL, NULL)) t(phrase, inputs, outputs)""",
-)
-def requested_directions(spark, sf_dir):
-    df = spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
-    return df.withColumn("x", direction.requested_direction("phrase")).select("phrase", "x.inputs", "x.outputs")
-
-
 @query(
     "bound_cards",
     """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS card_id, l_orderkey AS s, l_returnflag AS n, l_linenumber AS a, l_linenumber + l_quantity::INT % 3 AS e FROM lineitem),

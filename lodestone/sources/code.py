@@ -124,7 +124,7 @@ def failure_rows(source: str, code: str | None):
 
 
 def _spark_type(t: pa.DataType) -> str:
-    return "bigint" if t == _I else "string" if t == _S else "array<string>"
+    return {_I: "bigint", _S: "string", pa.bool_(): "boolean"}.get(t, "array<string>")
 
 
 def _table(rows, schema):
@@ -136,30 +136,77 @@ def _table(rows, schema):
     return run, ", ".join(f"{n} {_spark_type(t)}" for n, t in schema)
 
 
-def _over(df: DataFrame, rows, schema) -> DataFrame:
+def over(df: DataFrame, rows, schema) -> DataFrame:
+    """The table that rows(source_id, code) gives for each module of df."""
     f, ddl = _table(rows, schema)
     return df.select(F.col("source_id").cast("string"), F.col("code").cast("string")).mapInArrow(f, ddl)
 
 
 def definitions(df: DataFrame) -> DataFrame:
-    return _over(df, definition_rows, DEFINITIONS)
+    return over(df, definition_rows, DEFINITIONS)
 
 
 def calls(df: DataFrame) -> DataFrame:
-    return _over(df, call_rows, CALLS)
+    return over(df, call_rows, CALLS)
 
 
 def imports(df: DataFrame) -> DataFrame:
-    return _over(df, import_rows, IMPORTS)
+    return over(df, import_rows, IMPORTS)
 
 
 def failures(df: DataFrame) -> DataFrame:
-    return _over(df, failure_rows, FAILURES)
+    return over(df, failure_rows, FAILURES)
+
+
+MOST_APIS = 128
 
 
 def probe(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """(source_id, scope, name, api, capability, line): calls of the profile's APIs (a list of at most 128, broadcast)."""
-    return calls(df).where("api IS NOT NULL").join(F.broadcast(profile.select("api", "capability")), "api").select("source_id", "scope", "name", "api", "capability", "line")
+    """(source_id, scope, name, api, capability, line): calls of the profile's APIs (MOST_APIS at most, so broadcast; more are refused)."""
+    rows = profile.select("api", "capability").limit(MOST_APIS + 1).collect()
+    if len(rows) > MOST_APIS:
+        raise ValueError("PROFILE_LIMIT")
+    listed = df.sparkSession.createDataFrame(rows, "api string, capability string")
+    return calls(df).where("api IS NOT NULL").join(F.broadcast(listed), "api").select("source_id", "scope", "name", "api", "capability", "line")
+
+
+def probe_roles(df: DataFrame, roles: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """Observations of several profiles (role -> (api, capability) pairs), with the role; the sources are parsed once."""
+    listed = df.sparkSession.createDataFrame([(role, *x) for role, p in sorted(roles.items()) for x in p], "role string, api string, capability string")
+    if sum(map(len, roles.values())) > 3 * MOST_APIS:
+        raise ValueError("PROFILE_LIMIT")
+    return calls(df).where("api IS NOT NULL").join(F.broadcast(listed), "api").select("role", "source_id", "scope", "name", "api", "capability", "line")
+
+
+def coverage(df: DataFrame, findings: DataFrame) -> DataFrame:
+    """(source_id, coverage, findings) of every source: what a hunt did with it."""
+    n = findings.groupBy("source_id").agg(F.count("*").alias("n"))
+    j = df.select("source_id").join(failures(df), "source_id", "left").join(n, "source_id", "left")
+    state = F.when(F.col("code").isNotNull(), "BLOCKED").when(F.col("n") > 0, "FINDINGS").otherwise("NO_FINDING")
+    return j.select("source_id", state.alias("coverage"), F.coalesce("n", F.lit(0)).alias("findings"))
+
+
+def validate_findings(claims: DataFrame, df: DataFrame, profile: DataFrame) -> DataFrame:
+    """claims (source_id, sha256, scope, api, capability, line, ...) with a code: the first check that a claim fails, or VALID.
+
+    The source must exist with the same bytes, and a fresh probe must give the same observation at the same line."""
+    sha = df.select("source_id", F.sha2("code", 256).alias("_sha"))
+    again = probe(df, profile).groupBy("source_id", "scope", "api", "capability").agg(F.collect_set("line").alias("_lines"))
+    j = claims.join(sha, "source_id", "left").join(again, ["source_id", "scope", "api", "capability"], "left")
+    code = (
+        F.when(F.col("_sha").isNull(), "SOURCE_MISSING")
+        .when(~F.coalesce(F.array_contains("_lines", F.col("line")), F.lit(False)), "SPAN_MISMATCH")
+        .when(F.col("_sha") != F.col("sha256"), "SOURCE_DIGEST_MISMATCH")
+        .otherwise("VALID")
+    )
+    return j.select(*claims.columns, code.alias("code"))
+
+
+def remaining(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """(source_id, state) of sources (source_id, sha256) that a resumed run has to scan: NEW, or ALTERED since they were stored."""
+    j = df.select("source_id", "sha256").join(stored.select("source_id", F.col("sha256").alias("_had")), "source_id", "left")
+    state = F.when(F.col("_had").isNull(), "NEW").when(F.col("_had") != F.col("sha256"), "ALTERED")
+    return j.select("source_id", state.alias("state")).where("state IS NOT NULL")
 
 
 def function_rows(df: DataFrame, profile: DataFrame) -> DataFrame:
@@ -167,3 +214,44 @@ def function_rows(df: DataFrame, profile: DataFrame) -> DataFrame:
     seen = probe(df, profile).groupBy("source_id", F.col("scope").alias("name")).agg(F.array_sort(F.collect_set("api")).alias("observed_apis"))
     d = definitions(df).join(seen, ["source_id", "name"], "left")
     return d.withColumn("observed_apis", F.coalesce("observed_apis", F.array().cast("array<string>")))
+
+
+def _does_something(s: ast.stmt) -> bool:
+    plain = isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)
+    return not plain and not isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom))
+
+
+def script_rows(source: str, code: str | None):
+    tree = parse(code)
+    if tree is not None and any(map(_does_something, tree.body)):
+        yield source, len((code or "").splitlines())
+
+
+def source_rows(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """One row `<module>` a source whose own statements hold an observation, or that defines nothing but does something."""
+    seen = probe(df, profile).where("scope = '<module>'").groupBy("source_id").agg(F.array_sort(F.collect_set("api")).alias("observed_apis"))
+    scripts = over(df, script_rows, [("source_id", _S), ("end_line", _I)])
+    bare = scripts.join(definitions(df).select("source_id").distinct(), "source_id", "left_anti")
+    both = bare.select("source_id").union(seen.select("source_id")).distinct().join(seen, "source_id", "left")
+    return both.select("source_id", F.lit("<module>").alias("name"), F.coalesce("observed_apis", F.array().cast("array<string>")).alias("observed_apis"))
+
+
+def all_rows(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """Function rows and source rows as one frame; what a source row lacks is null."""
+    f = function_rows(df, profile).withColumn("record_kind", F.lit("function"))
+    return f.unionByName(source_rows(df, profile).withColumn("record_kind", F.lit("source_scope")), allowMissingColumns=True)
+
+
+def coverage_report(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """(namespace, sources, parsed, definitions, with_observations, status) of sources (source_id, code, namespace)."""
+    bad = failures(df).select("source_id", F.lit(1).alias("bad"))
+    d = function_rows(df, profile).groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.size("observed_apis") > 0).alias("o"))
+    j = df.select("source_id", "namespace").join(bad, "source_id", "left").join(d, "source_id", "left")
+    status = F.when(F.count("bad") > 0, "COMPLETED_WITH_GAPS").otherwise("COMPLETED_FOR_SELECTED_CONTAINERS")
+    return j.groupBy("namespace").agg(
+        F.count("*").alias("sources"),
+        (F.count("*") - F.count("bad")).alias("parsed"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("definitions"),
+        F.coalesce(F.sum("o"), F.lit(0)).alias("with_observations"),
+        status.alias("status"),
+    )
