@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import direction
-from lodestone.operators import context, linking
+from lodestone.operators import context, linking, retrieval
 from lodestone.plans import modules as M
+from lodestone.plans import text_queries as T
 from lodestone.sources import code as C
 from lodestone.sources import containers, scopes
 
@@ -557,3 +558,62 @@ def _made_files(batches):
             rows.append((f"b{k}.ipynb", json.dumps({"metadata": {"language_info": {"name": "python" if size % 2 == 0 else "julia"}}, "cells": cells}).encode()))
             rows.append((f"c{k}.txt", [f"z = {k}\n".encode(), b"some words, no code", b"\xff\xfe\x00"][size % 3]))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+
+#: Rows of function search by kind of module: name, doc, parameters, observed APIs, called names, attribute reads, role, class, stub.
+_ROWS = {
+    0: [
+        ("digest_{k}", "Convert data to digest.", "data name", "hashlib.sha256", "hashlib.sha256", "hashlib.sha256", "FUNCTION", None, False),
+        ("Store{k}.save", "", "self rows", "", "self.check", "self.check", "METHOD", "Store{k}", False),
+        ("Store{k}.check", "", "self rows **kw", "", "inner", "", "METHOD", "Store{k}", False),
+        ("Store{k}.check.inner", "", "x", "os.path.join", "p.join", "p.join", "FUNCTION", "Store{k}", False),
+    ],
+    1: [("use_{k}", "", "value", "", "digest_{a} len missing_{k} other.digest_{b}", "other.digest_{b}", "FUNCTION", None, False)],
+    2: [("restore_{k}", "", "text", "json.loads", "h.sha256 json.loads", "h.sha256 json.loads", "FUNCTION", None, False)],
+    4: [
+        ("Base{k}.run", "", "self n", "", "", "", "METHOD", "Base{k}", True),
+        ("Base{k}.__call__", "", "self", "", "self.run", "self.run", "CALL_OPERATION", "Base{k}", False),
+        ("Child{k}.__init__", "", "self n", "", "super super super().gone super().run", "", "CONSTRUCTOR", "Child{k}", False),
+        ("Child{k}.count", "", "self n", "", "TOTAL", "", "METHOD", "Child{k}", False),
+    ],
+    6: [("late_{k}", "", "items most", "", "cut_{k} json.loads restore_{c}", "json.loads", "FUNCTION", None, False)],
+    7: [("rows_{k}_to_table", "Turn rows into a table.", "rows", "", "", "", "FUNCTION", None, False), ("table_from_rows", "Render no rows.", "rows", "", "", "", "FUNCTION", None, False)],
+}
+_ROLE_SQL = "CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scopes.ROLE_WORDS.items()) + " ELSE '' END"
+_SEARCH_ROWS = (
+    f"SELECT source_id || ':' || name AS row_id, sha256(source_id || ':' || name || ':' || apis) AS group_id, name AS symbol, doc AS documentation, params AS parameters, source_id AS path, apis AS observed_api, called AS declared_call, reads AS state_read, {_ROLE_SQL} AS method_role, role AS kind, class_name, stub FROM ("
+    + M.expected("name doc params apis called reads role class_name stub", _ROWS)
+    + ")"
+)
+_SEARCH_FIELDS = ["symbol", "documentation", "parameters", "path", "observed_api", "declared_call", "state_read", "method_role"]
+_SEARCHED = {"s1": "convert rows to table", "s2": "digest hash", "s3": "restore loads", "s4": "base16 call", "s5": "child20 init new", "s6": "turn data into digest"}
+_DIRECTED = (
+    "SELECT 's1' AS query_id, source_id || ':' || name AS row_id, sha256(source_id || ':' || name || ':') AS group_id, ['rows', 'table'] AS endpoints FROM ("
+    + M.expected("name", {7: [("rows_{k}_to_table",), ("table_from_rows",)]})
+    + ") UNION ALL SELECT 's6', source_id || ':' || name, sha256(source_id || ':' || name || ':hashlib.sha256'), ['data', 'digest'] FROM ("
+    + M.expected("name", {0: [("digest_{k}",)]})
+    + ")"
+)
+
+
+def function_search_rows(spark, sf_dir):
+    m = code(spark, sf_dir)
+    return C.search_rows(m, profile(spark))
+
+
+@query(
+    "function_search",
+    f"WITH {T.ranked_sql(_SEARCH_ROWS, _SEARCH_FIELDS, _SEARCHED, 'NOT contains(path, ' + chr(39) + '/none/' + chr(39) + ')', _DIRECTED, 'kind AS role, class_name, stub')}, {T.DISTINCT_SQL} SELECT {T.FOUND_SQL}, occurrences FROM p WHERE position <= 20",
+)
+def function_search(spark, sf_dir):
+    """Functions by nine fields, with directions that they declare and the role that a query asks for."""
+    return retrieval.search(function_search_rows(spark, sf_dir), C.SEARCH_FIELDS, _SEARCHED)
+
+
+@query(
+    "function_search_without_tests",
+    f"WITH {T.ranked_sql(_SEARCH_ROWS, _SEARCH_FIELDS, _SEARCHED, 'NOT contains(path, ' + chr(39) + '/tests/' + chr(39) + ')', _DIRECTED, 'kind AS role, class_name, stub')}, {T.DISTINCT_SQL} SELECT {T.FOUND_SQL}, occurrences FROM p WHERE position <= 20",
+)
+def function_search_without_tests(spark, sf_dir):
+    """The same search as users get it: rows of tests are left out, but count in the statistics."""
+    return retrieval.search(function_search_rows(spark, sf_dir), C.SEARCH_FIELDS, _SEARCHED, checks=[("test_occurrences", ~F.contains("path", F.lit("/tests/")))])

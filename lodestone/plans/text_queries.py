@@ -178,31 +178,34 @@ def priority_files(spark, sf_dir):
 
 # -- search
 
-#: Search rows over documents: the text's first 40 characters stand for a symbol, the next 40 for declared calls.
+#: Search rows over documents: language and source stand for a symbol, dotted names and addresses in the text for declared calls.
 FIELDS = {"symbol": "symbol", "documentation": "text", "path": "source", "declared_call": "called"}
 WANTED = {"q1": "the and thing", "q2": "idiot snapshot backup", "q3": "license apache version", "q4": "verify restore", "q5": "password token secret key", "q6": "zzzz unheard"}
+_CALLED = r"[A-Za-z0-9]+(?:[.@][A-Za-z0-9]+)+"
 
 
 def search_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("row_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("group_id"), F.substring("text", 1, 40).alias("symbol"), "text", "source", F.substring("text", 41, 40).alias("called"))
+    called = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_CALLED), F.lit(0)), " ")
+    return d.select(F.col("doc_id").alias("row_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("group_id"), F.concat_ws(".", "lang", "source").alias("symbol"), "text", "source", called.alias("called"))
+
+
+_DOCUMENT_ROWS = f"SELECT doc_id AS row_id, sha256(coalesce(text, '')) AS group_id, concat_ws('.', lang, source) AS symbol, text AS documentation, source AS path, array_to_string(regexp_extract_all(coalesce(text, ''), '{_CALLED}'), ' ') AS declared_call FROM documents"
 
 
 def _weights():
     return "CASE field " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in retrieval.WEIGHTS.items()) + " END"
 
 
-def _terms():
-    values = ", ".join(f"('{k}', '{v}')" for k, v in WANTED.items())
+def scores_sql(rows: str, fields: list[str], wanted: dict[str, str]) -> str:
+    """CTEs up to rs, the scores of rows (a SELECT of row_id, group_id and the fields)."""
+    values = ", ".join(f"('{k}', '{v}')" for k, v in wanted.items())
     pairs = ", ".join(f"('{k}', '{x}')" for k, v in retrieval.SYNONYMS.items() for x in v)
+    long = " UNION ALL ".join(f"SELECT row_id, group_id, '{f}' AS field, {f} AS x FROM r" for f in fields)
     return f"""q(query_id, query) AS (VALUES {values}), syn(term, variant) AS (VALUES {pairs}),
 t AS (SELECT DISTINCT query_id, unnest({words_sql("query")}) AS term FROM q),
-terms AS (SELECT query_id, t.term, coalesce(variant, t.term) AS variant, CASE WHEN coalesce(variant, t.term) = t.term THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS weight FROM t LEFT JOIN syn ON t.term = syn.term)"""
-
-
-_FEATURES = f"""r AS (SELECT doc_id AS row_id, sha256(coalesce(text, '')) AS group_id, substr(text, 1, 40) AS symbol, text AS documentation, source AS path, substr(text, 41, 40) AS declared_call FROM documents),
-long AS (SELECT row_id, group_id, 'symbol' AS field, symbol AS x FROM r UNION ALL SELECT row_id, group_id, 'documentation', documentation FROM r
-  UNION ALL SELECT row_id, group_id, 'path', path FROM r UNION ALL SELECT row_id, group_id, 'declared_call', declared_call FROM r),
+terms AS (SELECT query_id, t.term, coalesce(variant, t.term) AS variant, CASE WHEN coalesce(variant, t.term) = t.term THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS weight FROM t LEFT JOIN syn ON t.term = syn.term),
+r AS ({rows}), long AS ({long}),
 w AS (SELECT row_id, group_id, field, unnest({words_sql("x")}) AS token FROM long),
 n AS (SELECT row_id, group_id, field, token, count(*) AS n FROM w GROUP BY ALL),
 f AS (SELECT row_id, group_id, field, token, least(n, 100) AS tf FROM (SELECT *, row_number() OVER (PARTITION BY row_id, field ORDER BY n DESC, token) AS k FROM n) WHERE k <= 256),
@@ -210,47 +213,89 @@ merged AS (SELECT group_id, field, token, max(tf) AS tf FROM f GROUP BY ALL),
 g AS (SELECT count(DISTINCT group_id) AS groups FROM f),
 idf AS (SELECT token, ln(1 + (groups - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT token, count(DISTINCT group_id) AS df FROM merged GROUP BY token), g),
 av AS (SELECT field, sum(tf)::DOUBLE / max(groups) AS average FROM merged, g GROUP BY field),
-ln AS (SELECT row_id, field, sum(tf)::DOUBLE AS length FROM f GROUP BY ALL)"""
-
-_SCORES = f"""{_terms()}, {_FEATURES},
+ln AS (SELECT row_id, field, sum(tf)::DOUBLE AS length FROM f GROUP BY ALL),
 s AS (SELECT query_id, f.row_id, f.group_id, f.field, term, max(idf * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * length / greatest(average, 1.0))) * weight) AS score
   FROM f JOIN terms ON f.token = variant JOIN idf ON idf.token = f.token JOIN av ON av.field = f.field JOIN ln ON ln.row_id = f.row_id AND ln.field = f.field GROUP BY ALL),
-rs AS (SELECT query_id, row_id, group_id, count(DISTINCT term) AS matched, sum(score * w) AS lexical, sum(CASE WHEN field = 'symbol' THEN score * w ELSE 0 END) AS symbol,
+rs0 AS (SELECT query_id, row_id, group_id, list(DISTINCT term) AS terms, list(DISTINCT field) AS fields, count(DISTINCT term) AS matched, sum(score * w) AS lexical, sum(CASE WHEN field = 'symbol' THEN score * w ELSE 0 END) AS symbol,
   sum(CASE WHEN field IN ('observed_api', 'declared_call') THEN score * w ELSE 0 END) AS call FROM (SELECT *, {_weights()} AS w FROM s) GROUP BY ALL)"""
 
 
-@query("bm25_scores", f"WITH {_SCORES} SELECT query_id, row_id, matched, round(lexical, 6) AS lexical, round(symbol, 6) AS symbol, round(call, 6) AS call FROM rs")
-def bm25_scores(spark, sf_dir):
-    s = retrieval.row_scores(retrieval.features(search_rows(spark, sf_dir), FIELDS), retrieval.query_terms(spark, WANTED))
-    return s.select("query_id", "row_id", "matched", *[F.round(c, 6).alias(c) for c in retrieval.CHANNELS])
+def ranked_sql(rows: str, fields: list[str], wanted: dict[str, str], kept: str = "TRUE", directed: str | None = None, about: str = "NULL AS role, NULL AS class_name, FALSE AS stub") -> str:
+    """CTEs up to `a`, every kept row of each query with its sort keys. directed: a SELECT of query_id, row_id, group_id, endpoints;
+    about: role, class_name and stub of a row of r."""
+    building = "[" + ", ".join(f"'{w}'" for w in retrieval.CONSTRUCTION) + "]"
+    extra = directed or "SELECT NULL::VARCHAR AS query_id, row_id, group_id, NULL::VARCHAR[] AS endpoints FROM r WHERE FALSE"
+    return f"""{scores_sql(rows, fields, wanted)}, dir AS ({extra}), wanted AS (SELECT query_id, list_sort(list(DISTINCT term)) AS wanted FROM terms GROUP BY 1),
+kept AS (SELECT row_id, coalesce(symbol, '') AS name, list_distinct({words_sql("symbol")}) AS nw, list_sort(list_distinct({words_sql("list_last(string_split(symbol, '.'))")})) AS lw, {about} FROM r WHERE {kept}),
+both0 AS (SELECT coalesce(rs0.query_id, dir.query_id) AS query_id, coalesce(rs0.row_id, dir.row_id) AS row_id, coalesce(rs0.group_id, dir.group_id) AS group_id, coalesce(terms, []) AS terms, coalesce(fields, []) AS fields,
+  coalesce(lexical, 0) AS lexical, coalesce(symbol, 0) AS symbol, coalesce(call, 0) AS call, endpoints FROM rs0 FULL JOIN dir ON rs0.query_id = dir.query_id AND rs0.row_id = dir.row_id),
+rs AS (SELECT both0.*, wanted, name, nw, lw, role, class_name, stub, len(list_distinct(terms || list_intersect(wanted, coalesce(endpoints, [])))) AS matched FROM both0 JOIN wanted USING (query_id) JOIN kept USING (row_id)),
+best AS (SELECT query_id, channel, group_id, max(value) AS value FROM (SELECT query_id, group_id, 'lexical' AS channel, lexical AS value FROM rs WHERE matched > 0
+  UNION ALL SELECT query_id, group_id, 'symbol', symbol FROM rs WHERE matched > 0 UNION ALL SELECT query_id, group_id, 'call', call FROM rs WHERE matched > 0) WHERE value > 0 GROUP BY ALL),
+ranks AS (SELECT query_id, channel, group_id, row_number() OVER (PARTITION BY query_id, channel ORDER BY round(value, 9) DESC, group_id) AS rank FROM best),
+fused AS (SELECT query_id, group_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM ranks GROUP BY ALL),
+a AS (SELECT rs.* EXCLUDE (matched), matched, matched = len(wanted) AS all_terms, endpoints IS NOT NULL AS directional, lw = wanted AS exact, len(list_intersect(wanted, nw)) AS sm, coalesce(rrf, 0) AS rrf,
+  CASE WHEN NOT stub AND (list_has_any(wanted, {words_sql("class_name")}) OR list_contains(fields, 'class_documentation')) THEN
+    (CASE role WHEN 'CONSTRUCTOR' THEN 1 WHEN 'CALL_OPERATION' THEN -1 ELSE 0 END) * (CASE WHEN list_has_any(wanted, {building}) THEN 1 ELSE -1 END) ELSE 0 END AS preference
+  FROM rs LEFT JOIN fused USING (query_id, group_id) WHERE matched > 0)"""
 
 
-_RANKS = f"""{_SCORES},
-best AS (SELECT query_id, channel, group_id, max(value) AS value FROM (SELECT query_id, group_id, 'lexical' AS channel, lexical AS value FROM rs
-  UNION ALL SELECT query_id, group_id, 'symbol', symbol FROM rs UNION ALL SELECT query_id, group_id, 'call', call FROM rs) WHERE value > 0 GROUP BY ALL),
-ranks AS (SELECT query_id, channel, group_id, row_number() OVER (PARTITION BY query_id, channel ORDER BY round(value, 9) DESC, group_id) AS rank FROM best),
-fused AS (SELECT query_id, group_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM ranks GROUP BY ALL)"""
+ORDER_SQL = "all_terms DESC, matched + directional::INT DESC, directional DESC, coalesce(exact, FALSE) DESC, sm DESC, preference DESC, round(rrf, 12) DESC, round(lexical, 9) DESC, name, row_id"
+DISTINCT_SQL = f"""o AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY {ORDER_SQL}) AS k, count(*) OVER (PARTITION BY query_id, group_id) AS occurrences FROM a),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER_SQL}) AS position FROM o WHERE k = 1)"""
+FOUND_SQL = "query_id, position, row_id, group_id, matched, all_terms, round(rrf, 6) AS rrf, round(lexical, 6) AS bm25"
+_NAMES = list(FIELDS)
 
 
-@query("search_distinct", f"""WITH {_RANKS}, wanted AS (SELECT query_id, list_sort(list(DISTINCT term)) AS terms FROM terms GROUP BY 1),
-names AS (SELECT row_id, coalesce(symbol, '') AS name, list_sort(list_distinct({words_sql("symbol")})) AS nw FROM r),
-a AS (SELECT rs.*, name, matched = len(terms) AS all_terms, nw = terms AS exact, len(list_intersect(terms, nw)) AS sm, coalesce(rrf, 0) AS rrf
-  FROM rs JOIN wanted USING (query_id) JOIN names USING (row_id) LEFT JOIN fused USING (query_id, group_id)),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id, group_id ORDER BY all_terms DESC, matched DESC, exact DESC, sm DESC, round(rrf, 12) DESC, round(lexical, 9) DESC, name, row_id) AS k, count(*) OVER (PARTITION BY query_id, group_id) AS occurrences FROM a),
-p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY all_terms DESC, matched DESC, exact DESC, sm DESC, round(rrf, 12) DESC, round(lexical, 9) DESC, name, row_id) AS position FROM o WHERE k = 1)
-SELECT query_id, position, row_id, group_id, matched, all_terms, round(rrf, 6) AS rrf, round(lexical, 6) AS bm25, occurrences FROM p WHERE position <= 20""")
+@query("bm25_scores", f"WITH {scores_sql(_DOCUMENT_ROWS, _NAMES, WANTED)} SELECT query_id, row_id, matched, round(lexical, 6) AS lexical, round(symbol, 6) AS symbol, round(call, 6) AS call FROM rs0")
+def bm25_scores(spark, sf_dir):
+    s = retrieval.row_scores(search_rows(spark, sf_dir), FIELDS, retrieval.query_terms(spark, WANTED))
+    return s.select("query_id", "row_id", "matched", *[F.round(c, 6).alias(c) for c in retrieval.CHANNELS])
+
+
+@query("search_distinct", f"WITH {ranked_sql(_DOCUMENT_ROWS, _NAMES, WANTED)}, {DISTINCT_SQL} SELECT {FOUND_SQL}, occurrences FROM p WHERE position <= 20")
 def search_distinct(spark, sf_dir):
     """The first 20 exact-text groups of each query."""
     return retrieval.search(search_rows(spark, sf_dir), FIELDS, WANTED)
 
 
-@query("search_status", f"""WITH {_SCORES}, nt AS (SELECT query_id, count(DISTINCT term) AS wanted FROM terms GROUP BY 1),
-z AS (SELECT nt.query_id, wanted, count(rs.row_id) AS matching_rows, count(rs.row_id) FILTER (matched = wanted) AS full_rows, max(matched) AS best FROM nt LEFT JOIN rs USING (query_id) GROUP BY ALL)
+@query("search_filtered", f"""WITH {ranked_sql(_DOCUMENT_ROWS, _NAMES, WANTED, "symbol LIKE 'en.%' AND NOT contains(coalesce(documentation, ''), '@')")} SELECT {FOUND_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER_SQL}) AS position FROM a) WHERE position <= 20""")
+def search_filtered(spark, sf_dir):
+    """The first 20 rows of each query among English texts without an address; statistics are those of all texts."""
+    checks = [("kind", F.col("symbol").startswith("en.")), ("excluded_api_observed", ~F.contains(F.coalesce("text", F.lit("")), F.lit("@")))]
+    return retrieval.search(search_rows(spark, sf_dir), FIELDS, WANTED, checks=checks, distinct=False)
+
+
+@query("group_occurrences", f"WITH {ranked_sql(_DOCUMENT_ROWS, _NAMES, WANTED)}, {DISTINCT_SQL}, top AS (SELECT query_id, group_id FROM p WHERE position <= 5) SELECT query_id, group_id, row_number() OVER (PARTITION BY query_id, group_id ORDER BY row_id) AS place, row_id FROM top JOIN r USING (group_id)")
+def group_occurrences(spark, sf_dir):
+    """All occurrences of the first five groups of each query."""
+    rows = search_rows(spark, sf_dir)
+    return retrieval.occurrences(retrieval.search(rows, FIELDS, WANTED, 5), rows)
+
+
+@query("search_status", f"""WITH {scores_sql(_DOCUMENT_ROWS, _NAMES, WANTED)}, nt AS (SELECT query_id, count(DISTINCT term) AS wanted FROM terms GROUP BY 1),
+z AS (SELECT nt.query_id, wanted, count(rs0.row_id) AS matching_rows, count(rs0.row_id) FILTER (matched = wanted) AS full_rows, max(matched) AS best FROM nt LEFT JOIN rs0 USING (query_id) GROUP BY ALL)
 SELECT query_id, CASE WHEN full_rows > 0 THEN 'MATCHES_FOUND' WHEN matching_rows > 0 THEN 'PARTIAL_TERM_MATCHES_ONLY' ELSE 'NO_METADATA_MATCH' END AS status, matching_rows, full_rows,
 CASE WHEN best IS NULL THEN 'NO_TERM_OVERLAP' WHEN best = wanted THEN 'ALL_QUERY_TERMS' WHEN best = 1 THEN 'SINGLE_TERM_OVERLAP' ELSE 'MULTIPLE_TERM_OVERLAP' END AS coverage FROM z""")
 def search_status(spark, sf_dir):
     terms = cut(retrieval.query_terms(spark, WANTED))
-    return retrieval.search_status(retrieval.row_scores(retrieval.features(search_rows(spark, sf_dir), FIELDS), terms), terms)
+    return retrieval.search_status(retrieval.row_scores(search_rows(spark, sf_dir), FIELDS, terms), terms)
+
+
+_LEGACY = {"old1": "snapshot the idiot", "old2": "en src1", "old3": "apache license version"}
+_TOKENS = lambda x: rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce({x}, ''), '([a-z])([A-Z])', '\1 \2', 'g')), '[a-z][a-z0-9]{{1,39}}'), lambda w: w NOT IN {_in(T.IDENTIFIER_STOP)})))"
+
+
+@query("legacy_order", f"""WITH q(query_id, query) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _LEGACY.items())}), t AS (SELECT query_id, {_TOKENS("query")} AS wanted FROM q),
+syn(term, variants) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in retrieval.LEGACY_SYNONYMS.items())}), u AS (SELECT query_id, wanted, term, coalesce(variants, [term]) AS variants FROM (SELECT query_id, wanted, unnest(wanted) AS term FROM t) x LEFT JOIN syn USING (term)),
+d AS (SELECT doc_id AS row_id, concat_ws('.', lang, source) AS name, {_TOKENS("text")} AS st FROM documents),
+m AS (SELECT query_id, row_id, any_value(name) AS name, any_value(wanted) AS wanted, count(*) AS matched FROM u JOIN d ON list_has_any(variants, st) GROUP BY query_id, row_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, ({_TOKENS("list_last(string_split(name, '.'))")} = wanted) DESC, len(list_intersect(wanted, {_TOKENS("name")})) DESC, name, row_id) AS position FROM m)
+SELECT query_id, position, row_id, matched FROM p WHERE position <= 20""")
+def legacy_order(spark, sf_dir):
+    """The older order of results, by term coverage and symbols only."""
+    rows = search_rows(spark, sf_dir).select("row_id", F.col("symbol").alias("name"), T.intake_tokens("text").alias("search_terms"))
+    return retrieval.legacy_search(rows, _LEGACY)
 
 
 @query("filter_reasons", "SELECT CASE WHEN lang <> 'en' THEN 'kind' WHEN source IN ('src0', 'src1') THEN 'container' WHEN NOT contains(text, 'the') THEN 'required_api_not_observed' WHEN contains(text, '@') THEN 'excluded_api_observed' ELSE 'kept' END AS reason, count(*) AS rows FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY 1")

@@ -255,3 +255,47 @@ def coverage_report(df: DataFrame, profile: DataFrame) -> DataFrame:
         F.coalesce(F.sum("o"), F.lit(0)).alias("with_observations"),
         status.alias("status"),
     )
+
+
+SEARCH_FIELDS = {
+    "symbol": "name",
+    "documentation": "doc",
+    "parameters": "params",
+    "path": "path",
+    "observed_api": "apis",
+    "declared_call": "called",
+    "state_read": "reads",
+    "method_role": "role_words",
+}
+
+
+def search_rows(df: DataFrame, profile: DataFrame) -> DataFrame:
+    """Functions as rows of retrieval.search(): the columns of SEARCH_FIELDS, row_id, group_id, role, class_name, stub, declarations."""
+    from lodestone.sources import scopes as S
+
+    f = function_rows(df, profile)
+    at = ["source_id", "name", "definition_line"]
+    about = S.descriptions(df).withColumnRenamed("line", "definition_line").select(*at, "role", "implementation", F.col("enclosing_class").alias("class_name"), "attribute_reads")
+    called = S.call_sites(df).groupBy("source_id", F.col("scope").alias("name"), F.col("scope_line").alias("definition_line")).agg(F.array_sort(F.collect_list("call")).alias("calls"))
+    ranked = F.struct(F.when(F.col("basis") == "FUNCTION_NAME", 0).when(F.col("basis") == "DOCSTRING_SUMMARY", 1).otherwise(2).alias("o"), "basis", "input", "output")
+    ends = S.endpoints(df).groupBy("source_id", "name", F.col("line").alias("definition_line")).agg(F.array_sort(F.collect_list(ranked)).alias("d"))
+    j = f.join(about, at).join(called, at, "left").join(ends, at, "left")
+    words = F.create_map(*[F.lit(x) for kv in S.ROLE_WORDS.items() for x in kv])
+    apis = F.array_join("observed_apis", " ")
+    row_id = F.concat_ws(":", "source_id", "name")
+    return j.select(
+        row_id.alias("row_id"),
+        F.sha2(F.concat_ws(":", "source_id", "name", apis), 256).alias("group_id"),
+        "name",
+        "doc",
+        F.array_join("parameters", " ").alias("params"),
+        F.col("source_id").alias("path"),
+        apis.alias("apis"),
+        F.coalesce(F.array_join("calls", " "), F.lit("")).alias("called"),
+        F.array_join("attribute_reads", " ").alias("reads"),
+        F.coalesce(words[F.col("role")], F.lit("")).alias("role_words"),
+        "role",
+        "class_name",
+        (F.col("implementation") == "DECLARATION_OR_STUB").alias("stub"),
+        F.transform("d", lambda x: F.struct(x["basis"].alias("basis"), x["input"].alias("input"), x["output"].alias("output"))).alias("declarations"),
+    )

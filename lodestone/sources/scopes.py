@@ -28,6 +28,10 @@ NO_GLOBAL, NO_NONLOCAL = "GLOBAL_BINDING_NOT_CAPTURED", "NONLOCAL_BINDING_NOT_CA
 REDIRECTED = "REDIRECTED_BINDING_EFFECT_UNRESOLVED"
 
 
+# Words that stand for a role in search.
+ROLE_WORDS = {"CONSTRUCTOR": "constructor initialize configuration", "CALL_OPERATION": "call operation", "METHOD": "method", "FUNCTION": "function"}
+
+
 @dataclass
 class Binding:
     name: str
