@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,17 +16,24 @@ GENESIS = "0" * 64
 def chain_events(events: DataFrame, job: str, seq: str, body: Column) -> DataFrame:
     """(job, seq, previous, sha256): each event's digest covers its body and the digest before it.
 
-    A chain is sequential by nature: a job's events are folded in one task, jobs side by side."""
-    e = events.select(job, F.struct(F.col(seq).alias("seq"), body.alias("body")).alias("e"))
-    g = e.groupBy(job).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.array(F.struct(F.lit(None).cast("long").alias("seq"), F.lit("").alias("previous"), F.lit(GENESIS).alias("sha256")))
-
-    def step(done, x):
-        last = F.element_at(done, -1)["sha256"]
-        return F.concat(done, F.array(F.struct(x["seq"].cast("long").alias("seq"), last.alias("previous"), F.sha2(F.concat(last, x["body"]), 256).alias("sha256"))))
-
-    out = g.select(job, F.explode(F.slice(F.aggregate("es", start, step), 2, 2**31 - 2)).alias("x"))
-    return out.select(job, F.col("x.seq").alias(seq), "x.previous", "x.sha256")
+    A chain is sequential by nature: jobs are dealt by hash, sorted, and read as a stream in which only the last digest is held, so a
+    job of any length takes linear time and no memory. Jobs side by side."""
+    e = events.select(job, F.col(seq).cast("long").alias(seq), body.alias("body"))
+    kind = e.schema[job].dataType.simpleString()
+    return e.repartition(job).sortWithinPartitions(job, seq).mapInArrow(_chained, f"{job} {kind}, {seq} long, previous string, sha256 string")
+
+
+def _chained(batches):
+    job, last = None, GENESIS
+    for batch in batches:
+        before, after = [], []
+        for j, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if j != job:
+                job, last = j, GENESIS
+            before.append(last)
+            last = hashlib.sha256((last + (body or "")).encode()).hexdigest()
+            after.append(last)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names[:2], "previous", "sha256"])
 
 
 def verify_chain(events: DataFrame, job: str, seq: str, body: Column) -> DataFrame:
