@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.matching import suffixes
+from lodestone.operators.ranking import top_rows
 from lodestone.sources import scopes as S
 
 AT = ["source_id", "scope", "scope_line", "root", "root_line", "column"]
@@ -119,3 +120,40 @@ def dependency_context(modules: DataFrame, places: DataFrame, definitions: DataF
     )
     target = F.when(F.col("candidates") == 1, F.concat_ws(":", "x.d.d_source", "x.d.d_name"))
     return j.select("source_id", "scope", "scope_line", "call", "line", reason.alias("status"), "candidates", target.alias("target"))
+
+
+def declared_apis(modules: DataFrame) -> DataFrame:
+    """(source_id, scope, api, line, import_line): the full names that calls have by their imports; an import at or after the call in its
+    own scope is no evidence for it."""
+    c = bound_calls(S.call_sites(modules), S.reads(modules)).where(F.col("site_kind").isin("import", "from_import") & (F.col("status") == S.ONE) & (F.coalesce("symbol", F.lit("")) != "*"))
+    c = c.where(~((F.col("site_scope") == F.col("scope")) & (F.col("site_line") >= F.col("line"))) & ~F.startswith("call", F.lit("super().")))
+    rest = F.slice(F.split("call", r"\."), 2, 1000)
+    plain = (F.col("site_kind") == "import") & (F.col("root") == F.split_part("module", F.lit("."), F.lit(1)))
+    named = F.concat_ws(".", F.filter(F.concat(F.array("module", "symbol"), rest), lambda x: x.isNotNull() & (x != "")))
+    return c.select("source_id", "scope", F.when(plain, F.col("call")).otherwise(F.concat(F.repeat(F.lit("."), F.col("level").cast("int")), named)).alias("api"), "line", F.col("site_line").alias("import_line"))
+
+
+def context_trails(modules: DataFrame, places: DataFrame, definitions: DataFrame, most: int = 30) -> DataFrame:
+    """(source_id, scope, call, line, status, targets): calls whose name leads, by the module's imports or in the module itself, to
+    definitions of the same namespace with exactly that module and name; a scope has `most` at most, the rest follow from its calls."""
+    dotted = F.regexp_replace(F.translate(F.regexp_replace("path", r"\.py$", ""), "/", "."), r"\.__init__$", "")
+    place = places.where("endswith(path, '.py')").select("source_id", "namespace", dotted.alias("module_name"), F.endswith("path", F.lit("__init__.py")).alias("is_package"))
+    c = S.call_sites(modules).where("NOT startswith(call, 'super().')").join(place, "source_id")
+    bound = S.bindings(modules)
+    local = bound.where("kind NOT IN ('import', 'from_import')").select("source_id", "scope", F.col("name").alias("root")).distinct()
+    imports = bound.where("scope = '<module>' AND kind IN ('import', 'from_import')").groupBy("source_id", F.col("name").alias("root")).agg(F.max_by(F.struct("module", "symbol", "level"), "line").alias("i"))
+    c = c.join(local, ["source_id", "scope", "root"], "left_anti").join(imports, ["source_id", "root"], "left")
+    tail = F.when(F.contains("call", F.lit(".")), F.regexp_replace("call", r"^[^.]*\.", ""))
+    own = F.split("module_name", r"\.")
+    package = F.when(F.col("is_package"), own).otherwise(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))))
+    up = F.coalesce(F.col("i.level"), F.lit(0)).cast("int")
+    parent = F.slice(package, 1, F.greatest(F.size(package) - F.greatest(up - 1, F.lit(0)), F.lit(0)))
+    named = F.array_join(F.concat(parent, F.filter(F.split(F.coalesce("i.module", F.lit("")), r"\."), lambda x: x != "")), ".")
+    module = F.when(F.col("i").isNull(), F.col("module_name")).when(up > 0, F.when(up - 1 <= F.size(package), named)).otherwise(F.col("i.module"))
+    symbol = F.when(F.col("i").isNull(), F.when(tail.isNull(), F.col("call"))).when(F.col("i.symbol").isNotNull(), F.concat_ws(".", "i.symbol", tail)).otherwise(tail)
+    c = c.withColumn("module_name", module).withColumn("name", symbol).where("module_name IS NOT NULL AND name IS NOT NULL")
+    d = definitions.select(F.col("source_id").alias("d_source"), "name").distinct().join(place.select(F.col("source_id").alias("d_source"), "namespace", "module_name"), "d_source")
+    found = c.join(d, ["namespace", "module_name", "name"]).groupBy("source_id", "scope", "call", "line").agg(F.array_sort(F.collect_set(F.concat_ws(":", "d_source", "name"))).alias("targets"))
+    top = top_rows(found, ["source_id", "scope"], [F.col("line"), F.col("call")], most)
+    status = F.when(F.size("targets") > 1, "AMBIGUOUS_CONTEXT_TARGET").otherwise("LEXICAL_CONTEXT_CANDIDATE_NOT_RUNTIME_EDGE")
+    return top.select("source_id", "scope", "call", "line", status.alias("status"), "targets")

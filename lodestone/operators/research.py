@@ -38,7 +38,8 @@ def lexical_search(records: DataFrame, queries: dict[str, str], limit: int = 10)
     wanted = [r[0] for r in terms.select("term").distinct().collect()]
     words = {f: T.question_terms(f) for f in WEIGHTS}
     length = sum((F.size(w) for w in words.values()), F.lit(0))
-    each = F.explode(F.concat(*[F.transform(F.filter(w, lambda x: x.isin(wanted)), lambda x, k=k: F.struct(x.alias("term"), F.lit(k).alias("weight"))) for w, k in zip(words.values(), WEIGHTS.values(), strict=True)])).alias("h")
+    weighted = lambda words, weight: F.transform(F.filter(words, lambda x: x.isin(wanted)), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("weight")))
+    each = F.explode(F.concat(*[weighted(words[f], w) for f, w in WEIGHTS.items()])).alias("h")
     r = records.repartition("id").withColumn("length", length)
     total = r.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     hits = r.select("id", "length", each).groupBy("id", "length", "h.term").agg(F.sum("h.weight").alias("tf"))
@@ -86,22 +87,22 @@ def question_status(questions: DataFrame, fused: DataFrame, references: DataFram
 
 
 def overlapping(queries: DataFrame, refs: DataFrame, limit: int = 5) -> DataFrame:
-    """(query, ref, overlap, rank): of each query (query long, words) the references (ref, words) with most words in common, ties by ref.
+    """(query, ref, overlap, rank): of each query (query, words) the references (ref, words) with most words in common, ties by ref.
 
     Queries are taken block by block; a task keeps the best `limit` of each query only, so what is shuffled is at most limit rows a
     query and task, however many references share a common word."""
     spark = queries.sparkSession
-    kind = refs.schema["ref"].dataType.simpleString()
+    kind, query = refs.schema["ref"].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK)
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
         held = [(r["query"], frozenset(r["words"])) for r in part.select("query", "words").collect()]
-        found = refs.select("ref", "words").mapInArrow(_best(held, limit), f"query long, ref {kind}, overlap long")
+        found = refs.select("ref", "words").mapInArrow(_best(held, limit), f"query {query}, ref {kind}, overlap long")
         out = found if out is None else out.union(found)
     if out is None:
-        return spark.createDataFrame([], f"query long, ref {kind}, overlap long, rank int")
+        return spark.createDataFrame([], f"query {query}, ref {kind}, overlap long, rank int")
     return top_rows(out, ["query"], [F.desc("overlap"), F.col("ref")], limit)
 
 
@@ -141,7 +142,7 @@ def _best(queries, limit: int):
                         heapq.heapreplace(heaps[k], item)
         rows = [(queries[k][0], x[2], x[0]) for k, h in enumerate(heaps) for x in h]
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int64())], ["query", "ref", "overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string() if queries and isinstance(queries[0][0], str) else pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int64())], ["query", "ref", "overlap"])
 
     return run
 
@@ -178,5 +179,5 @@ def code_leads(hits: DataFrame, limit: int = 12) -> DataFrame:
     """(mechanism, place, corpus, definition_id, source_id, query): hits (mechanism, seq, corpus, definition_id, source_id, query), each
     candidate once: at the place of its first hit, with the query of its last."""
     keys = ["mechanism", "corpus", "definition_id", "source_id"]
-    g = hits.groupBy(*keys).agg(F.min("seq").alias("first"), F.max_by("query", "seq").alias("query"))
-    return top_rows(g, ["mechanism"], [F.col("first")], limit, "place").select("mechanism", F.col("place").cast("long").alias("place"), "corpus", "definition_id", "source_id", "query")
+    g = hits.groupBy(*keys).agg(F.min("seq").alias("first"), F.max(F.struct("seq", "query"))["query"].alias("query"))
+    return top_rows(g, ["mechanism"], [F.col("first"), *map(F.col, keys[1:])], limit, "place").select("mechanism", F.col("place").cast("long").alias("place"), "corpus", "definition_id", "source_id", "query")

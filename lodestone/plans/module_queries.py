@@ -439,6 +439,67 @@ def dependency_context(spark, sf_dir):
     return context.dependency_context(m, M.places(spark, sf_dir), C.definitions(m)).drop("scope_line")
 
 
+@query(
+    "declared_apis",
+    M.expected(
+        "scope api line import_line",
+        {
+            0: [("digest_{k}", "hashlib.sha256", 6, 1), ("Store{k}.check.inner", "os.path.join", 14, 2)],
+            1: [("use_{k}", "m{a}.digest_{a}", 5, 1), ("use_{k}", "m{b}.digest_{b}", 6, 2)],
+            2: [("restore_{k}", "json.loads", 5, 2)],
+            5: [("<module>", "json.dumps", 2, 1)],
+            6: [("late_{k}", ".m{c}.restore_{c}", 5, 1)],
+        },
+    ),
+)
+def declared_apis(spark, sf_dir):
+    return context.declared_apis(code(spark, sf_dir))
+
+
+@query("context_trails", M.expected("scope call line status targets", {6: [("late_{k}", "restore_{c}", 5, "LEXICAL_CONTEXT_CANDIDATE_NOT_RUNTIME_EDGE", ["box{n}/m{c}.py:restore_{c}"])]}))
+def context_trails(spark, sf_dir):
+    m = code(spark, sf_dir)
+    return context.context_trails(m, M.places(spark, sf_dir), C.definitions(m))
+
+
+@query("recovered_imports", M.expected("scope name target", {0: [("Store{k}.check.inner", "p", "os.path")]}))
+def recovered_imports(spark, sf_dir):
+    return scopes.recovered_imports(code(spark, sf_dir))
+
+
+_OK, _BIG = "ANALYZED", "AST_UNIT_LIMIT"
+_UNITS = {
+    0: [(0, "import", 1, 1, _OK), (1, "import", 2, 2, _OK), (2, "function", 4, 6, _OK), (3, "class", 8, 15, _BIG)],
+    1: [(0, "import", 1, 1, _OK), (1, "import", 2, 2, _OK), (2, "function", 4, 8, _OK)],
+    2: [(0, "import", 1, 1, _OK), (1, "import", 2, 2, _OK), (2, "function", 4, 7, _OK)],
+    4: [(0, "class", 1, 5, _OK), (1, "class", 7, 14, _BIG)],
+    5: [(0, "import", 1, 1, _OK), (1, "statement", 2, 2, _OK)],
+    6: [(0, "import", 1, 1, _OK), (1, "statement", 2, 2, _OK), (2, "function", 4, 8, _BIG)],
+    7: [(0, "function", 1, 3, _OK), (1, "function", 5, 7, _OK)],
+}
+
+
+@query("structural_units", M.expected("unit kind start_line end_line status", _UNITS))
+def structural_units(spark, sf_dir):
+    """Top-level units of every module; those of more than 30 nodes are left out of analysis."""
+    return scopes.structural_units(code(spark, sf_dir), 30).select("source_id", "unit", "kind", "start_line", "end_line", "status")
+
+
+_FIRST_LINES = {k: [(t.split("\n")[0] + "\n",)] for k, t in enumerate(M.TEMPLATES) if k not in (3, 7, 4)}
+
+
+@query("unit_bytes", "SELECT source_id, 0::BIGINT AS byte_start, strlen(line) AS byte_end, sha256(line) AS sha256 FROM (" + M.expected("line", _FIRST_LINES) + ")")
+def unit_bytes(spark, sf_dir):
+    """The bytes of each module's first unit where that is one line."""
+    u = scopes.structural_units(code(spark, sf_dir)).where("unit = 0 AND start_line = end_line")
+    return u.select("source_id", "byte_start", "byte_end", "sha256")
+
+
+@query("partition_labels", "SELECT source_id, count(*) AS units, count(*) FILTER (status <> 'ANALYZED') AS omitted, CASE WHEN bool_and(status = 'ANALYZED') THEN 'COMPLETE' ELSE 'PARTIAL' END AS status FROM (" + M.expected("unit kind start_line end_line status", _UNITS) + ") GROUP BY 1")
+def partition_labels(spark, sf_dir):
+    return scopes.partition_status(scopes.structural_units(code(spark, sf_dir), 30))
+
+
 #: A document for each module: what its spans refer to.
 DOCUMENT = "# Part {k}\n\nCall `m{k}.digest_{k}()` or `Store{k}.save`, not `m{k}.gone`.\n\n```\n`m{k}.digest_{k}`\n```\n\n## More ##\n\nAlso `box{n}.m{k}.digest_{k}` and `plain`.\n<!-- `m{k}.digest_{k}` -->\n> `m{k}.digest_{k}`\n"
 _DIGEST, _SAVE = "box{n}/m{k}.py:digest_{k}", "box{n}/m{k}.py:Store{k}.save"

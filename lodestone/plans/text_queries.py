@@ -333,25 +333,15 @@ def limited_lists(spark, sf_dir):
     return ranking.with_totals(c, ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 5).select("c_nationkey", "c_custkey", "rank", "total")
 
 
-@query("reference_hits", f"""WITH q AS (SELECT item_id, list_distinct({words_sql("substr(text, 1, 60)")}) AS qt FROM benchmark), x AS (SELECT item_id, unnest(qt) AS term FROM q),
-c AS (SELECT conv_id, turn, unnest(list_distinct({words_sql("text")})) AS term FROM conversations), h AS (SELECT item_id, conv_id, turn, count(*) AS overlap FROM x JOIN c USING (term) GROUP BY ALL)
-SELECT item_id, conv_id, turn, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, conv_id, turn) AS rank FROM h) WHERE rank <= 5""")
-def reference_hits(spark, sf_dir):
-    """The five turns of conversation that share most words with the beginning of each item."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.identifier_words(F.substring("text", 1, 60)))).alias("term"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(T.identifier_words("text"))).alias("term"))
-    h = q.join(c, "term").groupBy("item_id", "conv_id", "turn").agg(F.count("*").alias("overlap"))
-    return ranking.top_rows(h, ["item_id"], [F.desc("overlap"), F.col("conv_id"), F.col("turn")], 5)
-
-
-@query("evidence_families", r"""WITH RECURSIVE d AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'))) AS t, substr(text, 1, 60) AS p FROM documents),
+@query("evidence_families", rf"""WITH RECURSIVE d AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'))) AS t, list_sort(list_distinct({words_sql("text")})) AS p FROM documents),
 e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY t) AS b FROM d UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY p) FROM d),
 l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 c(id, x) AS (SELECT doc_id, doc_id FROM d UNION SELECT c.id, l.b FROM c JOIN l ON c.x = l.a)
 SELECT id, min(x) AS root FROM c GROUP BY id""")
 def evidence_families(spark, sf_dir):
-    """Documents with the same normalised text or the same beginning, transitively."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalized("text"), 256).alias("t"), F.sha2(F.substring("text", 1, 60), 256).alias("p"))
+    """Documents with the same normalised text or the same set of words, transitively."""
+    words = F.array_join(F.array_sort(F.array_distinct(T.identifier_words("text"))), " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalized("text"), 256).alias("t"), F.sha2(words, 256).alias("p"))
     return graph.families(d, "doc_id", ["t", "p"])
 
 

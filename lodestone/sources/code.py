@@ -85,7 +85,7 @@ def import_rows(source: str, code: str | None):
                     yield source, a.asname or a.name, f"{head}.{a.name}" if n.module else f"{head}{a.name}", n.lineno
 
 
-def _stable_imports(tree: ast.Module) -> dict[str, str]:
+def stable_imports(tree: ast.Module) -> dict[str, str]:
     """Bindings that module-level imports make, without names that are bound in any other way as well."""
     made: dict[str, set[str]] = {}
     for n in tree.body:
@@ -110,7 +110,7 @@ def call_rows(source: str, code: str | None):
     tree = parse(code)
     if tree is None:
         return
-    known = _stable_imports(tree)
+    known = stable_imports(tree)
     for owner, n in scopes(tree):
         if isinstance(n, ast.Call) and (name := dotted(n.func)):
             head, _, rest = name.partition(".")

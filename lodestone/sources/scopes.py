@@ -8,11 +8,16 @@ read can't be tied to one. Modules are one row in and many rows out, as in sourc
 from __future__ import annotations
 
 import ast
+import hashlib
+import itertools
+import re
+import symtable
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestone.functions import direction
 from lodestone.sources import code as C
@@ -434,6 +439,62 @@ def endpoint_rows(source: str, code: str | None):
             yield from ((source, d.name, d.node.lineno, *x) for x in direction.declared(d.node))
 
 
+UNITS = [("source_id", _S), ("unit", _I), ("kind", _S), ("start_line", _I), ("end_line", _I), ("byte_start", _I), ("byte_end", _I), ("sha256", _S), ("status", _S)]
+RECOVERED = [("source_id", _S), ("scope", _S), ("name", _S), ("target", _S)]
+
+
+def unit_rows(max_nodes: int):
+    """Top-level statements of a module as units of analysis, with their bytes; one with more nodes than max_nodes is left out, and says so."""
+
+    def rows(source: str, code: str | None):
+        tree = C.parse(code)
+        if tree is None:
+            return
+        data = (code or "").encode("utf-8", "surrogatepass")
+        ends = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
+        ends += [len(data)] if ends[-1] < len(data) else []
+        for k, n in enumerate(tree.body):
+            first = min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", ()))])
+            a, b = ends[first - 1], ends[n.end_lineno]
+            kind = "function" if isinstance(n, FUNCTIONS) else "class" if isinstance(n, ast.ClassDef) else "import" if isinstance(n, (ast.Import, ast.ImportFrom)) else "statement"
+            small = sum(1 for _ in itertools.islice(ast.walk(n), max_nodes + 1)) <= max_nodes
+            yield source, k, kind, first, n.end_lineno, a, b, hashlib.sha256(data[a:b]).hexdigest(), "ANALYZED" if small else "AST_UNIT_LIMIT"
+
+    return rows
+
+
+def recovered_rows(source: str, code: str | None):
+    """Module-level imports that functions inside functions use, as the compiler's own symbol table proves them global."""
+    tree = C.parse(code)
+    if tree is None:
+        return
+    known = C.stable_imports(tree)
+    todo = [(symtable.symtable(code or "", source, "exec"), "", False)]
+    while todo:
+        table, name, inside = todo.pop()
+        function = table.get_type() == "function"
+        for child in table.get_children():
+            todo.append((child, f"{name}.{child.get_name()}" if name else child.get_name(), inside or function))
+        if function and inside:
+            for s in table.get_symbols():
+                if s.is_referenced() and s.is_global() and s.get_name() in known:
+                    yield source, name, s.get_name(), known[s.get_name()]
+
+
+def structural_units(df: DataFrame, max_nodes: int = 60_000) -> DataFrame:
+    return C.over(df, unit_rows(max_nodes), UNITS)
+
+
+def partition_status(units: DataFrame) -> DataFrame:
+    """(source_id, units, omitted, status): whether all of a module's units were admitted."""
+    g = units.groupBy("source_id").agg(F.count("*").alias("units"), F.count_if(F.col("status") != "ANALYZED").alias("omitted"))
+    return g.select("source_id", "units", "omitted", F.when(F.col("omitted") == 0, "COMPLETE").otherwise("PARTIAL").alias("status"))
+
+
+def recovered_imports(df: DataFrame) -> DataFrame:
+    return C.over(df, recovered_rows, RECOVERED)
+
+
 def bindings(df: DataFrame) -> DataFrame:
     return C.over(df, binding_rows, BINDINGS)
 
