@@ -8,8 +8,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import cut
+
 # Providers and licences allowed, folders left out, substrings no search string may hold, cue patterns.
 PROVIDERS = ["gdrive", "synthetic", "github", "local"]
 LICENSES = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense"]
@@ -83,9 +86,22 @@ def profile_codes(targets: DataFrame) -> DataFrame:
 
 
 def outside_approved(findings: DataFrame, approved: DataFrame) -> DataFrame:
-    """findings (path, start, end) that no approved span (path, start, end) of the same path holds wholly."""
-    a = approved.select(F.col("path").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return findings.join(a, (findings.path == F.col("_p")) & (F.col("_s") <= findings.start) & (findings.end <= F.col("_e")), "left_anti")
+    """findings (path, start, end) that no approved span (path, start, end) of the same path holds wholly.
+
+    A finding is inside one exactly if, of the spans that begin no later, the farthest end reaches its own. Both are dealt by range of
+    (path, start) and read in order with a running maximum; what earlier partitions reached is a small table. So a path with any number
+    of spans and findings is spread, and no pairs are made."""
+    columns = findings.columns
+    spans = approved.select(F.col("path").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.lit(0).alias("_k"))
+    both = spans.unionByName(findings.select("*", F.col("path").alias("_p"), F.col("start").alias("_s"), F.lit(None).cast("long").alias("_e"), F.lit(1).alias("_k")), allowMissingColumns=True)
+    dealt = cut(both.repartitionByRange("_p", "_s", "_k").sortWithinPartitions("_p", "_s", "_k").withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    reach = dealt.groupBy("_p", part.alias("_part")).agg(F.max("_e").alias("_far"))
+    before = F.max("_far").over(W.partitionBy("_p").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    reach = reach.select("_p", "_part", before.alias("_before"))
+    here = F.max("_e").over(W.partitionBy("_p", "_part").orderBy("_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    j = dealt.withColumn("_part", part).join(reach, ["_p", "_part"]).withColumn("_reach", F.greatest(here, F.col("_before")))
+    return j.where("_k = 1 AND (_reach IS NULL OR _reach < `end`)").select(*columns)
 
 
 def cues(df: DataFrame, row: str, text: str, most: int = 12) -> DataFrame:
@@ -96,15 +112,25 @@ def cues(df: DataFrame, row: str, text: str, most: int = 12) -> DataFrame:
     return x.select(row, "x.cue", F.least(F.size("x.found"), F.lit(most)).cast("long").alias("n"), F.lower(F.get("x.found", F.lit(0))).alias("first"))
 
 
-def on_cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """(id): sources that are derived from themselves within `depth` steps along (a, b)."""
-    e = edges.select("a", "b").distinct()
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(id): sources that are derived from themselves along edges (a, b), however long the way.
+
+    Nodes without a way in or out are peeled off until none is left (a checkpoint a round); only what remains, the cycles and what lies
+    between them, is closed transitively, doubling the length of ways each round."""
+    e = cut(edges.select("a", "b").distinct())
+    while True:
+        inner = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        inner = cut(inner.select("a", "b"))
+        if inner.count() == e.count():
+            break
+        e = inner
     walk = e
-    found = e.where("a = b").select(F.col("a").alias("id"))
-    for _ in range(depth - 1):
-        walk = walk.alias("w").join(e.alias("e"), F.col("w.b") == F.col("e.a")).select(F.col("w.a").alias("a"), F.col("e.b").alias("b")).distinct()
-        found = found.union(walk.where("a = b").select(F.col("a").alias("id")))
-    return found.distinct()
+    while True:
+        longer = walk.alias("w").join(walk.alias("v"), F.col("w.b") == F.col("v.a")).select(F.col("w.a").alias("a"), F.col("v.b").alias("b"))
+        longer = cut(walk.union(longer).distinct())
+        if longer.count() == walk.count():
+            return walk.where("a = b").select(F.col("a").alias("id")).distinct()
+        walk = longer
 
 
 def producing_steps(workflows: DataFrame) -> DataFrame:

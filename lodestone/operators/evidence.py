@@ -42,19 +42,33 @@ def evidence_states(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def workflow_trace(workflows: DataFrame) -> DataFrame:
-    """(workflow, step, missing, status): what each step lacks when earlier steps supply only what they can.
+    """(workflow, step, missing, roots, unconfirmed, status): what each step lacks when earlier steps supply only what they can.
 
-    workflows: workflow, initial array<string>, steps array<struct<id, requires, produces>> in order. A step that
-    lacks an input supplies nothing; the fold stays in the JVM."""
-    start = F.struct(F.col("initial").alias("have"), F.array().cast("array<struct<step:string,missing:array<string>>>").alias("out"))
+    workflows: workflow, initial array<string>, steps array<struct<id, requires, produces>> in order. A step that lacks an input
+    supplies nothing; what it would have supplied stays pending, with the inputs that it goes back to (roots), until another step
+    supplies it. A later producer never repairs an earlier step. The fold stays in the JVM."""
+    texts, pending = "array<string>", "array<struct<field:string,roots:array<string>>>"
+    row = "array<struct<step:string,missing:array<string>,roots:array<string>,unconfirmed:array<string>>>"
+    start = F.struct(F.col("initial").alias("have"), F.array().cast(pending).alias("pending"), F.array().cast(row).alias("out"))
 
     def step(acc, s):
-        missing = F.array_sort(F.array_except(s["requires"], acc["have"]))
-        have = F.when(F.size(missing) == 0, F.array_union(acc["have"], s["produces"])).otherwise(acc["have"])
-        return F.struct(have.alias("have"), F.concat(acc["out"], F.array(F.struct(s["id"].alias("step"), missing.alias("missing")))).alias("out"))
+        missing = F.array_sort(F.array_distinct(F.array_except(s["requires"], acc["have"])))
+        known = F.filter(acc["pending"], lambda p: F.array_contains(missing, p["field"]))
+        plain = F.array_except(missing, F.transform(known, lambda p: p["field"]))
+        roots = F.array_sort(F.array_distinct(F.flatten(F.concat(F.array(plain), F.transform(known, lambda p: p["roots"])))))
+        new = F.array_distinct(F.array_except(s["produces"], acc["have"]))
+        held = F.transform(acc["pending"], lambda p: F.struct(p["field"].alias("field"), F.when(F.array_contains(new, p["field"]), F.array_union(p["roots"], roots)).otherwise(p["roots"]).alias("roots")))
+        added = F.transform(F.array_except(new, F.transform(acc["pending"], lambda p: p["field"])), lambda f: F.struct(f.alias("field"), roots.alias("roots")))
+        blocked = F.size(missing) > 0
+        have = F.when(blocked, acc["have"]).otherwise(F.array_union(acc["have"], s["produces"]))
+        left = F.when(blocked, F.concat(held, added)).otherwise(F.filter(acc["pending"], lambda p: ~F.array_contains(s["produces"], p["field"])))
+        unconfirmed = F.when(blocked, F.array_sort(new)).otherwise(F.array().cast(texts))
+        one = F.struct(s["id"].alias("step"), missing.alias("missing"), roots.alias("roots"), unconfirmed.alias("unconfirmed"))
+        return F.struct(have.alias("have"), left.alias("pending"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     t = workflows.select("workflow", F.explode(F.aggregate("steps", start, step)["out"]).alias("x"))
-    return t.select("workflow", "x.step", "x.missing", F.when(F.size("x.missing") > 0, "BLOCKED_BY_DECLARED_INPUTS").otherwise("INPUTS_DECLARED_NOT_EXECUTED").alias("status"))
+    status = F.when(F.size("x.missing") > 0, "BLOCKED_BY_DECLARED_INPUTS").otherwise("INPUTS_DECLARED_NOT_EXECUTED")
+    return t.select("workflow", "x.step", "x.missing", "x.roots", "x.unconfirmed", status.alias("status"))
 
 
 def check_cases(assertions: DataFrame, observations: DataFrame) -> DataFrame:
@@ -79,12 +93,19 @@ def check_cases(assertions: DataFrame, observations: DataFrame) -> DataFrame:
     return g.select("case_id", status.alias("status"))
 
 
+MOST_REQUIREMENTS = 1000
+
+
 def requirement_verdicts(requirements: DataFrame, candidates: DataFrame, states: DataFrame) -> DataFrame:
     """(candidate, verdict, open): each candidate against all requirements.
 
-    The requirements are a short list written by a person, so they are broadcast; states: candidate,
+    The requirements are a list written by a person: MOST_REQUIREMENTS at most, so each candidate carries them; states: candidate,
     requirement, state (the latest of each); a pair without one is UNKNOWN."""
-    m = candidates.select("candidate").join(F.broadcast(requirements.select("requirement", "required")))
+    listed = requirements.select("requirement", "required").limit(MOST_REQUIREMENTS + 1).collect()
+    if len(listed) > MOST_REQUIREMENTS:
+        raise ValueError("REQUIREMENT_LIMIT")
+    each = F.array(*[F.struct(F.lit(r[0]).alias("requirement"), F.lit(r[1]).alias("required")) for r in listed])
+    m = candidates.select("candidate", F.inline(each)) if listed else candidates.select("candidate", F.lit("").alias("requirement"), F.lit(False).alias("required"))
     m = m.join(states, ["candidate", "requirement"], "left").withColumn("state", F.coalesce("state", F.lit("UNKNOWN")))
     bad, unknown = F.col("state").isin("CONTRADICTED", "TEST_FAILED"), F.col("state") == "UNKNOWN"
     g = m.where("required").groupBy("candidate").agg(F.max(bad).alias("_bad"), F.max(unknown).alias("_unknown"), F.sum((bad | unknown).cast("long")).alias("open"))

@@ -76,16 +76,22 @@ def match_symbols(definitions: DataFrame, symbols: DataFrame) -> DataFrame:
 FIT_ORDER = ["DECLARED_DIRECT_FIT", "DECLARED_SUPPORT_FIT", "MISSING_INPUTS", "UNRESOLVED_CONTRACT", "CONTRACT_MISMATCH", "NO_DECLARED_ROLE"]
 
 
+MOST_KINDS = 1000
+
+
 def assess_contracts(outputs: DataFrame, roles: DataFrame, attributes: list[str], missing: str) -> DataFrame:
     """(capability, task, status, role_id): each capability's best role in each task.
 
-    outputs: capability, kind, attributes, `missing` (inputs it lacks); roles: task, role_id, mode, kind,
-    attributes. Kinds must agree; `unknown` agrees with any, so it joins apart from the equi-join."""
+    outputs: capability, kind, attributes, `missing` (inputs it lacks); roles: task, role_id, mode, kind, attributes. Kinds must agree;
+    `unknown` agrees with any. So a role of unknown kind is dealt to each kind of output and any other to its own and to unknown ones,
+    and all pairs come from one equi-join on the output's kind. Kinds are a vocabulary: MOST_KINDS at most."""
     o = outputs.select("capability", F.col("kind").alias("_k"), *[F.col(a).alias(f"_o_{a}") for a in attributes], F.col(missing).alias("_missing"))
-    known = roles.where("kind <> 'unknown'")
-    pairs = o.where("_k <> 'unknown'").join(known, F.col("_k") == F.col("kind"))
-    # every output against roles of unknown kind, and outputs of unknown kind against the rest: both sides few
-    pairs = pairs.unionByName(o.join(F.broadcast(roles.where("kind = 'unknown'")))).unionByName(o.where("_k = 'unknown'").join(F.broadcast(known)))
+    kinds = [r[0] for r in o.select("_k").distinct().limit(MOST_KINDS + 1).collect()]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError("CONTRACT_KIND_LIMIT")
+    every = F.array(*map(F.lit, kinds)) if kinds else F.array().cast("array<string>")
+    reach = F.when(F.col("kind") == "unknown", every).otherwise(F.array(F.col("kind"), F.lit("unknown")))
+    pairs = roles.withColumn("_k", F.explode(reach)).join(o, "_k")
     either = lambda a: (F.col(a) == "unknown") | (F.col(f"_o_{a}") == "unknown")
     conflicts = sum((F.when(~either(a) & (F.col(a) != F.col(f"_o_{a}")), 1).otherwise(0) for a in attributes), F.lit(0))
     unknowns = sum((F.when(either(a), 1).otherwise(0) for a in attributes), F.lit(0))

@@ -80,13 +80,19 @@ def priority_files(df: DataFrame, repo: str, path: str, terms: list[str], n: int
     return top_rows(df.withColumn("hits", hits), [repo], [F.desc("hits"), F.length(path), F.col(path)], n)
 
 
+MOST_ROWS = 10_000
+
+
 def fits(df: DataFrame, by: list[str], order: list[Column], size: str, most: int) -> list[dict]:
     """Rows of a short ranked report that fit into `most` bytes: a row that is too large is skipped, later ones may fit.
 
-    Skipping makes the choice sequential; the report has a bounded number of rows (it is a packet for a person), so
-    it is chosen on the driver from its keys and sizes alone."""
+    Skipping makes the choice sequential; it is made on the driver from keys and sizes alone, so a report of more than MOST_ROWS rows is
+    refused. research.compact_packet() does the same for reports of any size and number."""
+    rows = df.select(*by, size).orderBy(*order).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError("REPORT_ROW_LIMIT")
     left, out = most, []
-    for r in df.select(*by, size).orderBy(*order).toLocalIterator():
+    for r in rows:
         if r[size] <= left:
             left -= r[size]
             out.append(r.asDict())

@@ -197,14 +197,42 @@ def requirement_matrix(spark, sf_dir):
     return evidence.requirement_verdicts(req, cand, s)
 
 
-@query("workflow_traces")
+#: Orders as workflows, their lines as steps: a line requires two fields by its part and supplier, and supplies one.
+_FIELDS = ("'f' || (l_partkey % 7)", "'f' || (l_suppkey % 5)", "'f' || ((l_partkey + l_suppkey) % 7)")
+_INITIAL = ["f0", "f1"]
+STEPS_SQL = f"""s AS (SELECT l_orderkey AS workflow, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n,
+  list_distinct([{_FIELDS[0]}, {_FIELDS[1]}]) AS requires, [{_FIELDS[2]}] AS produces FROM lineitem)"""
+TRACE_SQL = f"""{STEPS_SQL}, r(workflow, k, missing, have) AS (
+  SELECT workflow, k, list_sort(list_filter(requires, lambda f: NOT list_contains({_INITIAL}, f))), CASE WHEN len(list_filter(requires, lambda f: NOT list_contains({_INITIAL}, f))) = 0 THEN list_distinct({_INITIAL} || produces) ELSE {_INITIAL} END FROM s WHERE k = 1
+  UNION ALL SELECT s.workflow, s.k, list_sort(list_filter(requires, lambda f: NOT list_contains(have, f))), CASE WHEN len(list_filter(requires, lambda f: NOT list_contains(have, f))) = 0 THEN list_distinct(have || produces) ELSE have END FROM r JOIN s ON s.workflow = r.workflow AND s.k = r.k + 1)"""
+
+
+def workflows(spark, sf_dir):
+    field = lambda c, n: F.concat(F.lit("f"), (c % n).cast("string"))
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    step = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.array_distinct(F.array(field(p, 7), field(q, 5))).alias("requires"), F.array(field(p + q, 7)).alias("produces"))
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("workflow")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    steps = F.transform("steps", lambda s, i: F.struct((i + 1).cast("string").alias("id"), s["requires"].alias("requires"), s["produces"].alias("produces")))
+    return g.select("workflow", F.array(*map(F.lit, _INITIAL)).alias("initial"), steps.alias("steps"))
+
+
+@query("workflow_traces", f"WITH RECURSIVE {TRACE_SQL} SELECT workflow, k::VARCHAR AS step, missing, CASE WHEN len(missing) > 0 THEN 'BLOCKED_BY_DECLARED_INPUTS' ELSE 'INPUTS_DECLARED_NOT_EXECUTED' END AS status FROM r")
 def workflow_traces(spark, sf_dir):
-    """Each conversation as a workflow: a turn requires and supplies words of its text. A fold, so without SQL."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(T.identifier_words("text")).alias("w"))
-    step = F.struct("turn", F.col("turn").cast("string").alias("id"), F.slice("w", 1, 2).alias("requires"), F.slice("w", 2, 4).alias("produces"))
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    g = g.select(F.col("conv_id").alias("workflow"), F.element_at("steps", 1)["requires"].alias("initial"), F.transform("steps", lambda s: F.struct(s["id"].alias("id"), s["requires"].alias("requires"), s["produces"].alias("produces"))).alias("steps"))
-    return evidence.workflow_trace(g)
+    return evidence.workflow_trace(workflows(spark, sf_dir)).select("workflow", "step", "missing", "status")
+
+
+@query(
+    "producing_steps",
+    f"""WITH RECURSIVE {STEPS_SQL}, b(workflow, k, chosen, wanted) AS (SELECT workflow, k, TRUE, list_filter(requires, lambda f: NOT list_contains({_INITIAL}, f)) FROM s WHERE k = n
+      UNION ALL SELECT s.workflow, s.k, list_has_any(wanted, produces), CASE WHEN list_has_any(wanted, produces) THEN list_distinct(wanted || list_filter(requires, lambda f: NOT list_contains({_INITIAL}, f))) ELSE wanted END FROM b JOIN s ON s.workflow = b.workflow AND s.k = b.k - 1)
+    SELECT b.workflow, n::VARCHAR AS target, b.k::VARCHAR AS step FROM b JOIN (SELECT DISTINCT workflow, n FROM s) USING (workflow) WHERE chosen""",
+)
+def producing_steps(spark, sf_dir):
+    """The steps that each order's last line goes back to."""
+    from lodestone.operators import admission
+
+    w = workflows(spark, sf_dir)
+    return admission.producing_steps(w.withColumn("target", F.element_at("steps", -1)["id"]))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import linking, opportunity
+from lodestone.plans.evidence_queries import TRACE_SQL, workflows
 from lodestone.plans.text_queries import table
 
 QUERIES, SQL = {}, {}
@@ -106,26 +107,41 @@ def next_tasks(spark, sf_dir):
     return opportunity.next_tasks(states(spark, sf_dir), options(spark, sf_dir))
 
 
-@query("inferred_needs")
+@query(
+    "inferred_needs",
+    f"""WITH RECURSIVE {TRACE_SQL}, d AS (SELECT o_orderkey AS workflow, '1' AS step, 'f3' AS field FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey IN (SELECT workflow FROM s)),
+    l AS (SELECT workflow, k::VARCHAR AS step, unnest(missing) AS field FROM r)
+    SELECT workflow, step, field, 'information_gap' AS pattern, 'reported' AS basis FROM d UNION ALL SELECT workflow, step, field, 'information_gap', 'inferred' FROM l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.workflow = l.workflow AND d.step = l.step AND d.field = l.field)""",
+)
 def inferred_needs(spark, sf_dir):
-    """Fields that conversation turns lack, but for those of the first turns, which count as declared."""
-    from lodestone.functions import text as T
-
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(T.identifier_words("text")).alias("w"))
-    step = F.struct("turn", F.col("turn").cast("string").alias("id"), F.slice("w", 1, 2).alias("requires"), F.slice("w", 2, 4).alias("produces"))
-    g = c.groupBy(F.col("conv_id").alias("workflow")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    g = g.select("workflow", F.array().cast("array<string>").alias("initial"), F.transform("steps", lambda s: F.struct(s["id"].alias("id"), s["requires"].alias("requires"), s["produces"].alias("produces"))).alias("steps"))
-    declared = c.where("turn = 0").select(F.col("conv_id").alias("workflow"), F.col("turn").cast("string").alias("step"), F.explode(F.slice("w", 1, 1)).alias("field"), F.lit("information_gap").alias("pattern"))
-    return opportunity.inferred_needs(g, declared)
-
-
-@query("compared_citations")
+    """Fields that order lines lack, but for those that every third order declares."""
+    w = workflows(spark, sf_dir)
+    declared = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("workflow"), F.lit("1").alias("step"), F.lit("f3").alias("field"), F.lit("information_gap").alias("pattern"))
+    return opportunity.inferred_needs(w, declared.join(w.select("workflow"), "workflow", "left_semi"))
+
+
+_CITED = """d AS (SELECT doc_id AS source, 'u' || doc_id AS uri, text, doc_id % 6 AS k FROM documents WHERE text IS NOT NULL),
+nw AS (SELECT source, CASE WHEN k = 1 THEN 'elsewhere' ELSE uri END AS uri, CASE WHEN k = 2 THEN 'Note. ' || text WHEN k = 3 THEN 'rewritten' ELSE text END AS text, k FROM d WHERE k <> 0),
+ls AS (SELECT source, k, string_split(text, chr(10)) AS l FROM d), li AS (SELECT source, k, l, unnest(range(0, len(l))) AS i FROM ls),
+c AS (SELECT source, k, source % 3 AS owner, l[i + 1] AS quote, coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0)::BIGINT AS "start" FROM li WHERE l[i + 1] <> ''),
+o AS (SELECT DISTINCT owner, source, "start", "start" + length(quote) AS "end", quote FROM c), n AS (SELECT DISTINCT owner, source, "start" + 6 * (k = 2)::INT AS "start", "start" + 6 * (k = 2)::INT + length(quote) AS "end", quote FROM c WHERE k IN (1, 2, 5)),
+kept AS (SELECT * FROM o INTERSECT SELECT * FROM n), gone AS (SELECT *, row_number() OVER (PARTITION BY owner, source, quote ORDER BY "start", "end") AS nth FROM (SELECT * FROM o EXCEPT SELECT * FROM kept)),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY owner, source, quote ORDER BY "start", "end") AS nth FROM (SELECT * FROM n EXCEPT SELECT * FROM kept)),
+x AS (SELECT gone.*, fresh."start" AS ns, CASE WHEN nw.uri IS NULL THEN 'SOURCE_REMOVED' WHEN d.uri <> nw.uri THEN 'SOURCE_REPLACED' WHEN NOT contains(nw.text, gone.quote) THEN 'PASSAGE_MISSING' WHEN fresh."start" IS NULL THEN 'NO_LONGER_CITED'
+  WHEN contains(substr(d.text, strpos(d.text, gone.quote) + 1), gone.quote) OR contains(substr(nw.text, strpos(nw.text, gone.quote) + 1), gone.quote) THEN 'OCCURRENCE_UNCERTAIN' ELSE 'MOVED' END AS status
+  FROM gone LEFT JOIN fresh ON fresh.owner = gone.owner AND fresh.source = gone.source AND fresh.quote = gone.quote AND fresh.nth = gone.nth LEFT JOIN d ON d.source = gone.source LEFT JOIN nw ON nw.source = gone.source),
+al AS (SELECT 'RETAINED' AS status FROM kept UNION ALL SELECT status FROM x UNION ALL SELECT 'NEW_CITATION' FROM fresh WHERE NOT EXISTS (SELECT 1 FROM x WHERE status = 'MOVED' AND x.owner = fresh.owner AND x.source = fresh.source AND x.quote = fresh.quote AND x.ns = fresh."start"))"""
+
+
+@query("compared_citations", f"WITH {_CITED} SELECT status, count(*) AS citations FROM al GROUP BY 1")
 def compared_citations(spark, sf_dir):
-    """Citations of 30 characters of each document, against the texts after some were shifted, cut or moved away."""
+    """Citations of every line of every document, against the texts after some were shifted, rewritten, moved away or are cited no more."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("source"), F.concat(F.lit("u"), "doc_id").alias("uri"), "text")
     k = F.col("source") % 6
     new = d.where(k != 0).select("source", F.when(k == 1, "elsewhere").otherwise(F.col("uri")).alias("uri"), F.when(k == 2, F.concat(F.lit("Note. "), "text")).when(k == 3, F.lit("rewritten")).otherwise(F.col("text")).alias("text"))
-    cite = lambda df, start: df.select((F.col("source") % 3).alias("owner"), "source", start.alias("start"), (start + 30).alias("end"), F.expr("substring(text, 1, 30)").alias("quote"))
-    old = cite(d, F.lit(0))
-    now = cite(d.where(k != 0), F.when(k == 2, 6).otherwise(0)).where((F.col("source") % 6 != 4) & (F.col("source") % 6 != 3))
-    return opportunity.compare_citations(old, now, d, new).groupBy("status").agg(F.count("*").alias("citations"))
+    lines = d.select("source", F.split("text", "\n", -1).alias("l")).select("source", "l", F.posexplode("l").alias("i", "quote"))
+    at = F.aggregate(F.slice("l", 1, F.col("i")), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) + 1)
+    c = lines.where("quote <> ''").select((F.col("source") % 3).alias("owner"), "source", at.alias("start"), "quote")
+    cite = lambda df, shift: df.select("owner", "source", (F.col("start") + shift).alias("start"), (F.col("start") + shift + F.length("quote")).alias("end"), "quote")
+    now = cite(c.where(k.isin(1, 2, 5)), F.when(k == 2, 6).otherwise(0))
+    return opportunity.compare_citations(cite(c, F.lit(0)), now, d, new).groupBy("status").agg(F.count("*").alias("citations"))

@@ -162,9 +162,9 @@ def admitted_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.admitted_json("props")["code"].alias("code"))
 
 
-@query("git_blob_ids")
+@query("git_blob_ids", r"SELECT doc_id, sha1(encode('blob ' || strlen(coalesce(text, ''))) || '\x00'::BLOB || encode(coalesce(text, ''))) AS git_sha1, sha256(coalesce(text, '')) AS sha256 FROM documents")
 def git_blob_ids(spark, sf_dir):
-    """Git blob ids and digests of all texts (no SHA-1 in the SQL engine)."""
+    """Git blob ids and digests of all texts."""
     return table(spark, sf_dir, "documents").select("doc_id", J.git_blob_sha1("text").alias("git_sha1"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
 
 
