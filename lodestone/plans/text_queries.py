@@ -110,16 +110,51 @@ def spdx_markers(spark, sf_dir):
 
 
 _PLAIN_LINT = {k: v for k, v in T.LINT.items() if "(?!" not in v and "(?<!" not in v}
-_LINT_SQL = " UNION ALL ".join("SELECT doc_id, '{}' AS rule, len(regexp_extract_all(text, '{}'))::BIGINT AS n FROM documents".format(k, v.replace("'", "''")) for k, v in _PLAIN_LINT.items())
-
-
-@query("secret_lint", f"SELECT rule, count(*) AS documents, sum(n)::BIGINT AS hits FROM ({_LINT_SQL}) WHERE n > 0 GROUP BY rule")
+#: Made-up strings that each rule should find, put before every document in turn.
+_PLANTED = {
+    "private_key": "-----BEGIN TEST PRIVATE KEY-----",
+    "aws_access_key": "AKIA" + "X" * 16,
+    "github_token": "ghp_" + "x" * 24,
+    "slack_token": "xoxb-" + "x" * 12,
+    "stripe_key": "sk_test_" + "x" * 10,
+    "openai_style_key": "sk-" + "x" * 40,
+    "google_api_key": "AIza" + "x" * 32,
+    "jwt": "eyJ" + ".".join(["x" * 12, "y" * 12, "z" * 12]),
+    "bearer_token": "Authorization: Bearer " + "x" * 16,
+    "cookie_token": "Set-Cookie: " + "x" * 14,
+    "credential_url_parameter": "/a?b=1&token=" + "x" * 8,
+    "url_credentials": "ftp://user:" + "x" * 8 + "@host",
+    "env_file_line": "export MY_TOKEN=" + "x" * 8,
+    "drive_link": "docs.google.com/x",
+    "nothing": "no secret here",
+}
+_BEFORE = [_PLANTED[k] for k in sorted(_PLANTED)]
+_BEFORE_SQL = "[" + ", ".join(f"'{x}'" for x in _BEFORE) + f"][(doc_id % {len(_BEFORE)} + 1)::INT] || chr(10) || coalesce(text, '')"
+_LINT_SQL = " UNION ALL ".join("SELECT doc_id, '{}' AS rule, len(regexp_extract_all(t, '{}'))::BIGINT AS n FROM p".format(k, v.replace("'", "''")) for k, v in _PLAIN_LINT.items())
+
+
+def planted(spark, sf_dir):
+    before = F.element_at(F.array(*map(F.lit, _BEFORE)), (F.col("doc_id") % len(_BEFORE) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(before, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+@query("secret_lint", f"WITH p AS (SELECT doc_id, {_BEFORE_SQL} AS t FROM documents) SELECT rule, count(*) AS documents, sum(n)::BIGINT AS hits FROM ({_LINT_SQL}) WHERE n > 0 GROUP BY rule")
 def secret_lint(spark, sf_dir):
-    """Documents and hits for each pattern (those without look-around, which the SQL engine lacks)."""
-    d = table(spark, sf_dir, "documents").select(F.explode(T.lint_hits("text", _PLAIN_LINT)).alias("x"))
+    """Documents and hits for each pattern (those without look-around, which the SQL engine lacks), over texts with a planted string each."""
+    d = planted(spark, sf_dir).select(F.explode(T.lint_hits("text", _PLAIN_LINT)).alias("x"))
     return d.groupBy("x.rule").agg(F.count("*").alias("documents"), F.sum("x.n").alias("hits"))
 
 
+_SENSITIVE = [".env", "a/.env.local", "x/id_rsa", "deploy/credentials.json", "secrets.yaml", "b/service-account-1.json", "src/main.py", "environment.txt", ".npmrc", "my.env"]
+
+
+@query("sensitive_files", f"SELECT doc_id, [{', '.join(str(x not in ('src/main.py', 'environment.txt', 'my.env')).upper() for x in _SENSITIVE)}][(doc_id % {len(_SENSITIVE)} + 1)::INT] AS sensitive FROM documents")
+def sensitive_files(spark, sf_dir):
+    """Whether a file's name alone keeps it from being published."""
+    name = F.element_at(F.array(*map(F.lit, _SENSITIVE)), (F.col("doc_id") % len(_SENSITIVE) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_sensitive(name).alias("sensitive"))
+
+
 @query("personal_data_lint")
 def personal_data_lint(spark, sf_dir):
     """Hits of all patterns by document; some look around, so without SQL."""
@@ -157,9 +192,32 @@ def canonical_events(spark, sf_dir):
     return e.select("event_id", F.sha2(J.canonical_json(raw)["json"], 256).alias("sha256"))
 
 
-@query("admitted_props", "SELECT event_id, CASE WHEN props IS NULL THEN 'NULL' WHEN NOT json_valid(props) THEN 'INVALID_JSON_OR_UNICODE' WHEN json_type(props) <> 'OBJECT' THEN 'OBJECT_REQUIRED' ELSE 'OK' END AS code FROM events")
+_RECORDS = [
+    ('{"k": KK}', "OK"),
+    ('{"k": 1, "k": KK}', "DUPLICATE_JSON_KEY"),
+    ('{"k": NaN}', "NONFINITE_JSON"),
+    ('{"k": ' + "[" * 70 + "]" * 70 + "}", "JSON_DEPTH_LIMIT"),
+    ('{"k": 9007199254740992}', "UNSAFE_INTEGER_USE_STRING"),
+    ('{"k": 1e-400}', "NUMBER_UNDERFLOW"),
+    ('{"k": 0.' + "1" * 130 + "}", "NUMBER_TOKEN_LIMIT"),
+    ("[KK]", "OBJECT_REQUIRED"),
+    ('{"k": KK', "INVALID_JSON_OR_UNICODE"),
+    ("", "JSON_SIZE_LIMIT"),
+    ('{"k": 1e999}', "UNSAFE_INTEGER_USE_STRING"),
+    (None, "NULL"),
+    ('{"k": {"b": [KK, true, "x"]}, "a": -0.0}', "OK"),
+]
+
+
+@query(
+    "admitted_props",
+    f"SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CASE WHEN props IS NULL THEN 'NULL' WHEN NOT json_valid(props) THEN 'INVALID_JSON_OR_UNICODE' WHEN json_type(props) <> 'OBJECT' THEN 'OBJECT_REQUIRED' ELSE 'OK' END ELSE [{', '.join(repr(c) for _, c in _RECORDS)}][(event_id % {len(_RECORDS)} + 1)::INT] END AS code FROM events",
+)
 def admitted_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", J.admitted_json("props")["code"].alias("code"))
+    """The properties of every second event, and records that break one rule each in place of the others."""
+    made = F.element_at(F.array(*[F.lit(r) for r, _ in _RECORDS]), (F.col("event_id") % len(_RECORDS) + 1).cast("int"))
+    text = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.replace(made, F.lit("KK"), F.col("event_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", J.admitted_json(text)["code"].alias("code"))
 
 
 @query("git_blob_ids", r"SELECT doc_id, sha1(encode('blob ' || strlen(coalesce(text, ''))) || '\x00'::BLOB || encode(coalesce(text, ''))) AS git_sha1, sha256(coalesce(text, '')) AS sha256 FROM documents")
