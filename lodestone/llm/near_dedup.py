@@ -10,8 +10,8 @@ Scale: exact copies (equal sets) collapse first by a partial aggregation. A buck
 member, to its smallest, never all pairs. Components of these edges are blocks; sets meet only inside a
 block, large blocks are cut into chunk pairs of bounded size, and each task returns a spanning forest.
 
-Nodes are classes of equal sets, numbered once and checkpointed, so rows that share a doc_id but not a set keep apart
-and every class is compared by a text of its own.
+Nodes are classes of equal sets: named by their smallest id, or, where classes share one, by numbers that are given once
+and checkpointed. So rows that share a doc_id but not a set keep apart, and every class is compared by a text of its own.
 
 Defined results: null and word-less texts have no shingles and no links; repeated rows are copies; rows that share a
 doc_id are documents of their own, linked by their texts alone; a null doc_id comes before all others as the smallest
@@ -244,7 +244,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     some = sk.where("n_shingles > 0")
     # one row for each class of equal sets; copies meet in partial aggregations, not in a join
     reps = some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "text_hash"), "id").alias("one"), F.count("*").alias("n"))
-    reps = C.cut(reps.select("k1", "k2", "id", "n", "one.*", F.monotonically_increasing_id().alias("node")))
+    reps = C.cut(reps.select("k1", "k2", "id", "n", "one.*", F.monotonically_increasing_id().alias("number")))
+    # an id names its class where no two classes share one, as in most tables; else their numbers do, and ids come back at the end
+    shared = not reps.groupBy("id").count().where("count > 1").isEmpty()
+    reps = reps.withColumn("node", F.col("number") if shared else F.col("id"))
     classes = reps.select("k1", "k2", "id", "node", "n")
     rows = reps.select("node", F.explode("bands").alias("band"))
     least = rows.groupBy("band").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1")
@@ -259,11 +262,13 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> D
     meet = held.select("block", "chunk", "node", "z", pair).select("block", "p.i", "p.j", "chunk", "node", "z")
     meet = meet.repartition(C.shards(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
     root = components(meet.mapInArrow(_confirm(shingle_words, percent), "a long, b long"))
-    # the smallest id of each group of classes; a class without links stands for itself
-    root = root.union(root.select("root", "root").distinct())
-    grouped = root.join(reps.select("node", "id"), "node")
-    firsts = grouped.groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    root = with_hot(grouped.select("node", "root"), firsts, ["root"], "inner").select("node", "first")
+    if shared:  # the smallest id of each group of classes
+        root = root.union(root.select("root", "root").distinct())
+        grouped = root.join(reps.select("node", "id"), "node")
+        firsts = grouped.groupBy("root").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+        root = with_hot(grouped.select("node", "root"), firsts, ["root"], "inner").select("node", "first")
+    else:
+        root = root.withColumnRenamed("root", "first")
     named = classes.join(root, "node", "left").select("k1", "k2", "n", F.coalesce("first", "id").alias("first"))
     out = with_hot(some, named, ["k1", "k2"], "left").unionByName(sk.where("n_shingles = 0").withColumn("first", F.col("id")))
     comp = F.when(F.col("first") != C.NULL_ID, F.col("first"))
