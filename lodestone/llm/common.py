@@ -48,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+_held: dict[str, object] = {}
+
+
+def take_turn(name: str, forget=None) -> None:
+    """An operator begins in this Python worker: what others have cached in it goes. forget() drops the operator's own cache later."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    if forget is not None:
+        _held[name] = forget
+
+
 def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -185,6 +185,7 @@ def copies(items: Items, w: np.ndarray, at: np.ndarray):
 
 def _count(items: Items):
     def run(batches):
+        C.take_turn("contamination")
         n = np.zeros(len(items.keys), np.int64)
         for batch in batches:
             data, off = C.flat(batch.column(0))
@@ -215,6 +216,7 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> list[Items]:
 
 def _find(blocks: list[Items]):
     def run(batches):
+        C.take_turn("contamination")
         for batch in batches:
             data, off = C.flat(batch.column(1))
             ids = batch.column(0).to_pylist()

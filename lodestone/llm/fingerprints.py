@@ -112,6 +112,7 @@ def edited(text: str, following: str) -> str:
 
 
 def _fingerprint_column(batches):
+    C.take_turn("fingerprints")
     for batch in batches:
         f = _fingerprints([x or b"" for x in C.as_binary(batch.column(1)).to_pylist()])
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(map(as_text, f)), pa.string())], ["doc_id", "fingerprint"])
@@ -170,6 +171,7 @@ def _deal(splits: Splits, before: dict[tuple[int, int], int]):
 
 def _compare(batches):
     """Rows of one part by descending id and hash, the guests last."""
+    C.take_turn("fingerprints")
 
     def rows(own, following):
         texts = [t for _, t, _, _ in own]

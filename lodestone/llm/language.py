@@ -41,8 +41,10 @@ class ByteGru:
         f = lambda *s, k=1.0: (rng.standard_normal(s) * k).astype(np.float32)
         self.w = {"t0": f(256, 3 * h, k=0.3), "u0": f(h, 3 * h, k=0.35), "t1": f(256, 3 * h, k=0.3), "u1": f(h, 3 * h, k=0.35), "v": f(2 * h, n, k=0.3), "b": np.zeros(n, np.float32)}
 
-    def states(self, x: np.ndarray, d: int, keep: bool = False):
-        """States after each position of x (time x batch), read forwards (d = 0) or backwards."""
+    def states(self, x: np.ndarray, d: int, keep: bool = False, size: np.ndarray | None = None):
+        """States after each position of x (time x batch), read forwards (d = 0) or backwards.
+
+        size: the windows' lengths, ascending; reading backwards, what lies behind a window's end leaves no trace in its state."""
         tab, u, h2 = self.w[f"t{d}"], self.w[f"u{d}"], 2 * HIDDEN
         steps, n = x.shape
         h = np.zeros((n, HIDDEN), np.float32)
@@ -64,14 +66,16 @@ class ByteGru:
             z *= zr[:, :HIDDEN]
             z += c
             h = z
+            if d and size is not None and size[0] <= t:
+                h[: np.searchsorted(size, t, side="right")] = 0
             out[t] = h
         return (out, saved) if keep else out
 
-    def position_logs(self, x: np.ndarray) -> np.ndarray:
+    def position_logs(self, x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
         """Log-probabilities of each language at each position: time x batch x languages."""
         v = self.w["v"]
         y = self.states(x, 0) @ v[:HIDDEN]
-        y += self.states(x, 1) @ v[HIDDEN:]
+        y += self.states(x, 1, size=size) @ v[HIDDEN:]
         y += self.w["b"]
         y -= y.max(axis=2, keepdims=True)
         y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
@@ -150,7 +154,7 @@ class ByteGru:
             w = order[i : i + 4096]
             n = length[w]
             x = data[start[w][:, None] + cols[None, : n.max()]]
-            p = self.position_logs(np.ascontiguousarray(x.T).astype(np.intp))
+            p = self.position_logs(np.ascontiguousarray(x.T).astype(np.intp), n)
             if n.min() < n.max():
                 p *= (cols[: n.max(), None] < n[None, :])[:, :, None]
             np.add.at(total, doc[w], p.sum(axis=0, dtype=np.float64))
@@ -197,6 +201,7 @@ def train(docs: DataFrame) -> ByteGru | None:
 
 def _predict(net: ByteGru | None):
     def run(batches):
+        C.take_turn("language")
         for batch in batches:
             data, off = C.flat(batch.column(1))
             for i, j in C.blocks(off):

@@ -84,6 +84,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sketch(k: int):
     def run(batches):
+        C.take_turn("near_dedup")
         for batch in batches:
             data, off = C.flat(batch.column(1))
             for i, j in C.blocks(off):
@@ -107,6 +108,7 @@ def _sketch(k: int):
 
 
 def _packed(batches):
+    C.take_turn("near_dedup")
     for batch in batches:
         col = C.as_binary(batch.column(2)).fill_null(b"")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([C.pack(x) for x in col.to_pylist()], pa.binary())], ["id", "text_hash", "z"])
@@ -184,6 +186,7 @@ def _confirm(k: int, percent: int):
         return [tuple(sorted((rows[a][4], rows[b][4]))) for a, b in links(sets, percent, side)]
 
     def run(batches):
+        C.take_turn("near_dedup")
         rows, out = [], []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):

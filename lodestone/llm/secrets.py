@@ -132,6 +132,7 @@ def _digest(found) -> str:
 
 
 def _scan(batches):
+    C.take_turn("secrets")
     for batch in batches:
         text = batch.column(1)
         may = pc.fill_null(pc.match_substring_regex(text, MAY_MATCH), False).to_pylist()

@@ -144,6 +144,7 @@ def _count(m: Match, least: float):
     Small counts are rounded to 0 or FEW at random, by the key and the group, so that their expectation stays."""
 
     def run(batches):
+        C.take_turn("superkmers")
         for group in _batches(batches):
             keys, same = [], []
             for _, _, data, off in group:
@@ -209,6 +210,7 @@ def _send(m: Match, parts: int, hot: np.ndarray, bins: int = 1):
         return np.array(keys, np.uint64), metas, texts, gone
 
     def run(batches):
+        C.take_turn("superkmers")
         for group in _batches(batches):
             keys, metas, texts, gone = settle(group)
             del group
@@ -406,6 +408,7 @@ def _gather(m: Match, find):
             yield from _rows(np.concatenate(spans))
 
     def run(batches):
+        C.take_turn("superkmers")
         rows, at = [], None
         for batch in batches:
             for k, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

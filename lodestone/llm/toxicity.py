@@ -154,6 +154,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
 
 def _score(pair: Pair | None):
     def run(batches):
+        C.take_turn("toxicity")
         for batch in batches:
             s = [0.0 if pair is None else pair.score(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])

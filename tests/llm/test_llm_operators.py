@@ -318,6 +318,60 @@ def test_pieces_match_the_library_and_round_trip(spark):
         assert by[i].decoded == lib.decode(ids)
 
 
+def test_pieces_of_long_texts_and_differences(spark, monkeypatch):
+    """Very long texts with and without spaces; parts on which agenda and library differ take the library's ids."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    m = pieces.MergePieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["word " * 30_000, "x" * 20_000, "", "odd word odd", "a odd", "fine text"]
+    real = m.agenda
+    monkeypatch.setattr(m, "agenda", lambda p: [5] if p == "▁odd" else real(p))
+    got = m.encode(texts)
+    assert [ids for ids, _ in got] == [m.lib.encode(t) for t in texts]
+    assert [s for _, s in got] == [",".join(map(str, ids)) for ids, _ in got]
+    assert m.odd == {"▁odd"} and max(map(len, m.known)) <= pieces.LONG
+    m.forget()
+    assert [ids for ids, _ in m.encode(texts)] == [ids for ids, _ in got]
+    none = pieces.encode_documents(frame(spark, [], 1), public_tokenizers.path("piece_bpe_32k.model"))
+    assert none.count() == 0
+
+
+def test_every_scan_on_odd_tables(spark):
+    """Empty tables, nulls, repeated rows, a very long text and clashing columns: as many rows out as in, equal rows for equal rows."""
+    net, pair = language.ByteGru(["en", "fr"]), toxicity.fit(["vile word"] * 20, ["plain word here"] * 20)
+    scans = {
+        "licenses": lambda d: licenses.scan_licenses(d),
+        "secrets": lambda d: secrets.scan_secrets(d),
+        "language": lambda d: language.identify(d, net),
+        "no language": lambda d: language.identify(d, None),
+        "toxicity": lambda d: toxicity.score_documents(d, pair),
+        "no toxicity": lambda d: toxicity.score_documents(d, None),
+        "fingerprints": lambda d: fingerprints.fingerprints(d),
+        "near": lambda d: near_dedup.near_groups(d),
+    }
+    rows = [*EDGES, (906, "word " * 60_000)]
+    for name, scan in scans.items():
+        assert scan(frame(spark, [], 1)).count() == 0, name
+        got = scan(frame(spark, rows)).collect()
+        assert len(got) == len(rows), name
+        twice = [r for r in got if r.doc_id == 904]
+        assert len(twice) == 2 and twice[0] == twice[1], name
+        assert sum(r.doc_id is None for r in got) == 1, name
+    lang = {r.doc_id: r for r in language.identify(frame(spark, rows), net).collect()}
+    assert lang[900].lang_pred == lang[902].lang_pred == "und" and lang[906].lang_pred in ("en", "fr")
+
+
+def test_operators_share_a_worker():
+    gone = []
+    C.take_turn("one", lambda: gone.append("one"))
+    C.take_turn("one", lambda: gone.append("one again"))
+    assert not gone
+    C.take_turn("two")
+    C.take_turn("three", lambda: gone.append("three"))
+    assert gone == ["one again"]
+    C.take_turn("two")
+    assert gone == ["one again", "three"]
+
+
 # -- 7
 
 
