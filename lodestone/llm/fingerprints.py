@@ -212,11 +212,13 @@ def _compare(batches):
                 to += 1
             yield rows(kept[at:to], kept[to][1])
             for x in kept[at:to]:
-                yield from repeats(x)
+                if x[2] > 1:
+                    yield from repeats(x)
             at = to
         kept = kept[at:]
     if kept and not kept[0][3]:
-        yield from repeats(kept[0])
+        if kept[0][2] > 1:
+            yield from repeats(kept[0])
         yield rows(kept[:1], kept[1][1])
 
 
