@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import math
 import re
 
 import pyarrow as pa
@@ -28,6 +30,8 @@ from . import common as C
 
 MARK = "▁"
 CACHE, LONG = 200_000, 100
+#: Characters of a part up to which its agenda is a plain list.
+SHORT = 48
 
 
 class MergePieces:
@@ -47,15 +51,50 @@ class MergePieces:
         if not self.byte:
             raise ValueError("byte fallback is needed")
         self.newline_alone = not any("\n" in p for p in self.id)
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[str, list[int]]] = {}
+        self.old: dict[str, tuple[str, list[int]]] = {}
         self.odd: set[str] = set()
+        self.digits = [str(i) for i in range(self.lib.vocab_size())]
 
     def forget(self) -> None:
         self.known, self.old = {}, {}
 
     def agenda(self, part: str) -> list[int]:
         """Ids of one part, its spaces already marked."""
+        return self.ids_of(self.merged_list(part) if len(part) <= SHORT else self.merged_heap(part))
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
+        ids = self.id
+        try:
+            return [ids[p] for p in symbols]
+        except KeyError:  # a symbol that is no piece
+            pass
+        out = []
+        for p in symbols:
+            i = ids.get(p)
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend([self.byte[b] for b in p.encode()])
+        return out
+
+    def merged_list(self, part: str) -> list[str]:
+        """Symbols left of a short part: its agenda is the row of the pairs' scores, the best and leftmost of which goes first."""
+        get, none = self.score.get, -math.inf
+        sym = list(part)
+        row = [get(part[i : i + 2], none) for i in range(len(part) - 1)]
+        while row and (best := max(row)) != none:
+            i = row.index(best)
+            both = sym[i] = sym[i] + sym.pop(i + 1)
+            del row[i]
+            if i < len(row):
+                row[i] = get(both + sym[i + 1], none)
+            if i:
+                row[i - 1] = get(sym[i - 1] + both, none)
+        return sym
+
+    def merged_heap(self, part: str) -> list[str]:
+        """Symbols left of a part of any length: its agenda is a heap, whose entries lapse when a symbol of theirs has merged."""
         score = self.score
         sym = list(part)
         n = len(sym)
@@ -82,15 +121,7 @@ class MergePieces:
                 s = score.get(p := sym[h] + both)
                 if s is not None:
                     heapq.heappush(heap, (-s, h, i, p))
-        out = []
-        for p in sym:
-            if p is not None:
-                i = self.id.get(p)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out.extend(self.byte[b] for b in p.encode())
-        return out
+        return [p for p in sym if p is not None]
 
     def parts(self, text: str) -> list[str]:
         """The text with marks for spaces, split where no piece can cross."""
@@ -119,11 +150,11 @@ class MergePieces:
         ours = [self.agenda(p) for p in missing]
         # the library puts a mark in front; a part without one follows a line end there
         asked = [p[1:].replace(MARK, " ") if p[0] == MARK else "\n" + p for p in missing]
-        head = self.agenda(MARK + "\n")
+        head, digits = self.agenda(MARK + "\n"), self.digits
         for p, a, ids, theirs in zip(missing, asked, ours, self.lib.encode(asked, num_threads=1), strict=True):
             if (ids if p[0] == MARK and a else head + ids if a else theirs) != theirs:
                 self.odd.add(p)
-            self.known[p] = (",".join(map(str, ids)), tuple(ids))
+            self.known[p] = (",".join([digits[i] for i in ids]), ids)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same as a comma-joined string."""
@@ -142,10 +173,7 @@ class MergePieces:
                 out.append((ids, ",".join(map(str, ids))))
                 continue
             got = [known[p] for p in ps]
-            ids: list[int] = []
-            for _, x in got:
-                ids += x
-            out.append((ids, ",".join([s for s, _ in got])))
+            out.append((list(itertools.chain.from_iterable([x for _, x in got])), ",".join([s for s, _ in got])))
         for p in missing:
             if len(p) > LONG:
                 del known[p]

@@ -335,6 +335,15 @@ def test_pieces_of_long_texts_and_differences(spark, monkeypatch):
     assert none.count() == 0
 
 
+def test_both_agendas_agree():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    m = pieces.MergePieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(33)
+    for _ in range(400):
+        part = "▁" + "".join(rng.choice("aaabcdeeehilnorstuéß漢0") for _ in range(rng.randint(0, 60)))
+        assert m.merged_list(part) == m.merged_heap(part), part
+
+
 def test_every_scan_on_odd_tables(spark):
     """Empty tables, nulls, repeated rows, a very long text and clashing columns: as many rows out as in, equal rows for equal rows."""
     net, pair = language.ByteGru(["en", "fr"]), toxicity.fit(["vile word"] * 20, ["plain word here"] * 20)
