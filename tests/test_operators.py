@@ -4,6 +4,7 @@ import io
 import json
 import math
 import random
+import re
 import zipfile
 
 import pytest
@@ -251,3 +252,106 @@ def test_streamed_ledger(spark, tmp_path):
         assert [tuple(r) for r in spark.table("latest_jobs").collect()] == [("j", 4, "B")]
     finally:
         q.stop()
+
+
+def brute_trace(initial, steps):
+    """Each step's missing fields, the inputs that they go back to, and the outputs that it can't confirm."""
+    have, pending, out = set(initial), {}, []
+    for name, requires, produces in steps:
+        absent = set(requires) - have
+        roots = set()
+        for f in absent:
+            roots |= pending.get(f, {f})
+        out.append((name, sorted(absent), sorted(roots), sorted(set(produces) - have) if absent else []))
+        for f in produces:
+            if absent and f not in have:
+                pending[f] = pending.get(f, set()) | roots
+            if not absent:
+                have.add(f)
+                pending.pop(f, None)
+    return out
+
+
+def test_workflow_roots_against_brute_force(spark):
+    rng = random.Random(3)
+    pick = lambda n: [f"f{rng.randint(0, 9)}" for _ in range(rng.randint(0, n))]
+    flows = [(k, sorted(set(pick(3))), [(f"s{i}", pick(3), pick(3)) for i in range(rng.randint(1, 9))]) for k in range(60)]
+    df = spark.createDataFrame(flows, "workflow long, initial array<string>, steps array<struct<id:string,requires:array<string>,produces:array<string>>>")
+    got = {}
+    for r in evidence.workflow_trace(df).collect():
+        got.setdefault(r.workflow, []).append((r.step, r.missing, r.roots, r.unconfirmed))
+    for k, initial, steps in flows:
+        assert sorted(got[k]) == sorted(brute_trace(initial, steps)), steps
+
+
+def test_blocks_end_where_a_greedy_cut_would(spark):
+    from lodestone.operators import packing
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\n é") for _ in range(rng.randint(0, 300))) for _ in range(80)] + ["x" * 100, "\n" * 50, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    ends = {}
+    for r in packing.blocks(df, "row", "text", 32).collect():
+        ends.setdefault(r.row_id, []).append((r.start, r.end))
+    for k, t in enumerate(texts):
+        data, at, want = t.encode(), 0, []
+        while at < len(data):
+            end = min(at + 32, len(data))
+            if end < len(data):
+                cut = data.rfind(b"\n", at, end)
+                end = cut + 1 if cut >= at else end
+            want.append((at, end))
+            at = end
+        assert sorted(ends.get(k, [])) == want, t
+
+
+def test_lint_with_look_around_against_python(spark):
+    texts = ['password = "longenough1"', "x_password: 'longenough2'", "mail a.b@host.com or c@example.com", "/home/user/x and a/home/user", "C:\\Users\\me\\x", "token='short'", '{"api_key": "0123456789"}', None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {(r.row, x.rule): x.n for r in df.select("row", T.lint_hits("text").alias("h")).collect() for x in r.h}
+    want = {(k, rule): n for k, t in enumerate(texts) for rule, p in T.LINT.items() if (n := len(list(re.finditer(p, t or ""))))}
+    assert got == want and len(want) >= 5
+
+
+def test_cycles_of_any_length_and_approved_spans(spark):
+    n = 40
+    ring = [(i, (i + 1) % n) for i in range(n)] + [(100, 0), (n // 2, 200), (300, 300), (400, 401), (401, 402)]
+    got = {r.id for r in admission.on_cycles(spark.createDataFrame(ring, "a long, b long")).collect()}
+    assert got == {*range(n), 300}
+    assert admission.on_cycles(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = random.Random(8)
+    span = lambda: (rng.choice("ppq"), a := rng.randint(0, 60), a + rng.randint(0, 12))
+    found, approved = [(k, *span()) for k in range(300)], [span() for _ in range(60)]
+    left = admission.outside_approved(spark.createDataFrame(found, "id long, path string, start long, end long"), spark.createDataFrame(approved, "path string, start long, end long")).collect()
+    want = {k for k, p, s, e in found if not any(p == q and a <= s and e <= b for q, a, b in approved)}
+    assert {r.id for r in left} == want and 0 < len(want) < 300
+
+
+def test_references_in_blocks_and_packets(spark, monkeypatch):
+    from lodestone.operators import research
+
+    rng = random.Random(9)
+    words = lambda n: [rng.choice("abcdefghijkl") for _ in range(n)]
+    queries, refs = [(k, sorted(set(words(5)))) for k in range(30)], [(k, words(6)) for k in range(200)]
+    q, r = spark.createDataFrame(queries, "query long, words array<string>"), spark.createDataFrame(refs, "ref long, words array<string>").repartition(5)
+    want = set()
+    for k, w in queries:
+        hits = sorted(((-len(set(w) & set(x)), i) for i, x in refs if set(w) & set(x)))[:5]
+        want |= {(k, i, -n, rank) for rank, (n, i) in enumerate(hits, 1)}
+    for block in (7, 4096):
+        monkeypatch.setattr(research, "QUERY_BLOCK", block)
+        assert {tuple(x) for x in research.overlapping(q, r).select("query", "ref", "overlap", "rank").collect()} == want
+    assert research.overlapping(q.where("false"), r).count() == 0
+
+
+def test_scopes_of_odd_modules():
+    from lodestone.sources import scopes
+
+    code = "from x import *\ndef f[T](a: T = q):\n    nonlocal_ = a\n    def g():\n        global h\n        h = 1\n        return h\n    return [y for y in a]\nclass C:\n    z = 1\n    def m(self):\n        return z\ntry:\n    pass\nexcept E as e:\n    del e\nmatch 1:\n    case {'k': v, **rest}:\n        pass\n"
+    reads = {(r[1], r[3]): r[6] for r in scopes.read_rows("m", code)}
+    assert reads["f", "a"] in ("LEXICAL_BINDING_CANDIDATE", "COMPREHENSION_SCOPE_UNRESOLVED")
+    assert reads["<module>", "q"] == "DECLARATION_SCOPE_UNRESOLVED"
+    assert reads["C.m", "z"] == "WILDCARD_IMPORT_BINDING_UNRESOLVED"
+    kinds = {(b[3], b[5]) for b in scopes.binding_rows("m", code)}
+    assert {("e", "exception_target"), ("v", "pattern_capture"), ("rest", "pattern_capture"), ("e", "delete")} <= kinds
+    assert not list(scopes.read_rows("m", "def broken(:")) and not list(scopes.site_rows("m", None))
