@@ -344,6 +344,29 @@ def test_both_agendas_agree():
         assert m.merged_list(part) == m.merged_heap(part), part
 
 
+def test_new_parts_run_side_by_side(monkeypatch):
+    """No agenda of its own for each of many new parts, the ids of the library; a difference in the rows is found there too."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    m = pieces.MergePieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(34)
+    words = {"".join(rng.choice("aaabcdeeehilnorstuéß0.") for _ in range(rng.randint(1, 45))) for _ in range(5000)}
+    texts = [" ".join(rng.choices(sorted(words), k=400)) + rng.choice(["", " ", "\n", "  x", "\n\nthe 漢😀", " ▁the"]) for _ in range(30)] + ["", "\nthe", " the"]
+    asked, real = [], m.agenda
+    monkeypatch.setattr(m, "agenda", lambda p: asked.append(p) or real(p))
+    got = m.encode(texts)
+    assert [ids for ids, _ in got] == m.lib.encode(texts)
+    assert [s for _, s in got] == [",".join(map(str, ids)) for ids, _ in got]
+    assert len(m.known) > 3000 and len(asked) < 50 and not m.odd
+    rows, ids, counts, rest = m.merged_rows(sorted(m.known))
+    assert len(rows) > 3000 and sorted(rows + rest) == sorted(m.known)
+    for p, x in zip(rows, pieces.lists(ids, counts), strict=True):
+        assert x == m.ids_of(m.merged_heap(p)), p
+    m.forget()
+    m.pairs.into[m.pairs.into == m.id["th"]] = len(m.rank) - 1  # the rows alone no longer merge t and h
+    assert [ids for ids, _ in m.encode(texts)] == [ids for ids, _ in got]
+    assert m.odd and all("th" in p for p in m.odd)
+
+
 def test_every_scan_on_odd_tables(spark):
     """Empty tables, nulls, repeated rows, a very long text and clashing columns: as many rows out as in, equal rows for equal rows."""
     net, pair = language.ByteGru(["en", "fr"]), toxicity.fit(["vile word"] * 20, ["plain word here"] * 20)
