@@ -29,6 +29,13 @@ from . import common as C
 #: Labelled documents to learn from, dealt evenly to the languages; steps and windows a step.
 SAMPLE, STEPS, BATCH = 1600, 350, 192
 HIDDEN, WINDOW = 8, 96
+#: Rows of one matrix product in a prediction. Products round by shape and by place in a wide block, so equal texts would score unequally.
+TILE = 8
+
+
+def tiled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for a of rows in a multiple of TILE, in products of one small shape."""
+    return (a.reshape(-1, TILE, a.shape[-1]) @ b).reshape(*a.shape[:-1], b.shape[1])
 
 
 class ByteGru:
@@ -51,7 +58,7 @@ class ByteGru:
         out = np.empty((steps, n, HIDDEN), np.float32)
         saved = []
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            g, a = tab[x[t]], h @ u
+            g, a = tab[x[t]], h @ u if keep or n % TILE else tiled(h, u)
             zr = g[:, :h2]
             zr += a[:, :h2]
             np.tanh(zr, out=zr)  # sigmoid(2y) = (tanh(y) + 1) / 2
@@ -74,8 +81,9 @@ class ByteGru:
     def position_logs(self, x: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
         """Log-probabilities of each language at each position: time x batch x languages."""
         v = self.w["v"]
-        y = self.states(x, 0) @ v[:HIDDEN]
-        y += self.states(x, 1, size=size) @ v[HIDDEN:]
+        by = tiled if x.shape[1] % TILE == 0 else np.matmul
+        y = by(self.states(x, 0), v[:HIDDEN])
+        y += by(self.states(x, 1, size=size), v[HIDDEN:])
         y += self.w["b"]
         y -= y.max(axis=2, keepdims=True)
         y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
@@ -152,12 +160,14 @@ class ByteGru:
         cols = np.arange(WINDOW)
         for i in range(0, len(doc), 4096):
             w = order[i : i + 4096]
+            k = len(w)
+            w = np.concatenate([w, np.repeat(w[-1:], -k % TILE)])
             n = length[w]
             x = data[start[w][:, None] + cols[None, : n.max()]]
             p = self.position_logs(np.ascontiguousarray(x.T).astype(np.intp), n)
             if n.min() < n.max():
                 p *= (cols[: n.max(), None] < n[None, :])[:, :, None]
-            np.add.at(total, doc[w], p.sum(axis=0, dtype=np.float64))
+            np.add.at(total, doc[w[:k]], p.sum(axis=0, dtype=np.float64)[:k])
         with np.errstate(invalid="ignore"):
             p = np.exp(total / size[:, None])
             return p / p.sum(axis=1, keepdims=True)

@@ -1,8 +1,11 @@
 """Operators 1-4, 6-9 and the pipeline's stages: brute force, exact round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -367,6 +370,28 @@ def test_new_parts_run_side_by_side(monkeypatch):
     assert m.odd and all("th" in p for p in m.odd)
 
 
+ALONE = """
+import random
+import numpy as np, pyarrow as pa
+from lodestone.llm import common as C, language
+rng = random.Random(3)
+docs = ["".join(rng.choice("abcdefgh éß漢 ") for _ in range(rng.choice([1, 5, 30, 95, 96, 97, 1000]))) for _ in range(150)]
+for n in (1, 2, 9):
+    net = language.ByteGru([f"l{i}" for i in range(n)])
+    alone = np.vstack([net.documents(*C.flat(pa.array([d]))) for d in docs])
+    for k in (1, 2, 7, 50):
+        assert (net.documents(*C.flat(pa.array(docs[:k] * 7 + docs)))[-len(docs):] == alone).all(), (n, k)
+"""
+
+
+@pytest.mark.parametrize("kernel", ["", "Haswell", "Nehalem"])
+def test_language_scores_do_not_depend_on_the_batch(kernel):
+    """Equal texts score equally to the last bit whatever stands beside them, with the matrix kernels of several processors."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(language.__file__)))
+    env = os.environ | {"PYTHONPATH": root, "OPENBLAS_NUM_THREADS": "1"} | ({"OPENBLAS_CORETYPE": kernel} if kernel else {})
+    subprocess.run([sys.executable, "-c", ALONE], env=env, check=True, timeout=300)
+
+
 def test_every_scan_on_odd_tables(spark):
     """Empty tables, nulls, repeated rows, a very long text and clashing columns: as many rows out as in, equal rows for equal rows."""
     net, pair = language.ByteGru(["en", "fr"]), toxicity.fit(["vile word"] * 20, ["plain word here"] * 20)
