@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -49,16 +51,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _held: dict[str, object] = {}
+_last: list[str] = []
 
 
 def take_turn(name: str, forget=None) -> None:
-    """An operator begins in this Python worker: what others have cached in it goes. forget() drops the operator's own cache later."""
+    """An operator begins in this Python worker: what others have cached in it goes, and the memory that they freed goes back to the
+    system. forget() drops the operator's own cache later."""
     for other in [k for k in _held if k != name]:
         _held.pop(other)()
+    if _last and _last[0] != name:
+        give_back()
+    _last[:] = [name]
     if forget is not None:
         _held[name] = forget
 
 
+def give_back() -> None:
+    """Arrow and the C library keep freed memory for themselves, over 100 MB after some operators."""
+    _pow.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -429,6 +429,18 @@ def test_operators_share_a_worker():
     assert gone == ["one again", "three"]
 
 
+def test_freed_memory_goes_back_between_operators(monkeypatch):
+    C.take_turn("one")
+    C.powers(C.MULT, 10)
+    calls, real = [], C.give_back
+    monkeypatch.setattr(C, "give_back", lambda: calls.append(1) or real())
+    for name, n in (("one", 0), ("two", 1), ("two", 1), ("one", 2)):
+        C.take_turn(name)
+        assert len(calls) == n, name
+        assert bool(C._pow) == (n == 0), name
+    assert len(C.powers(C.MULT, 10)) == 10
+
+
 # -- 7
 
 
