@@ -116,7 +116,7 @@ def catalog(modules: DataFrame, definitions: DataFrame) -> tuple[DataFrame, Data
     sha = F.sha2("code", 256)
     sources = modules.select("source_id", F.concat(F.lit("observation_"), F.sha2(F.concat_ws("|", "source_id", sha), 256)).alias("observation_id"), sha.alias("sha256"))
     card = F.concat(F.lit("card_"), F.sha2(F.concat_ws("|", "source_id", "name", "definition_line", "end_line", "observation_id"), 256))
-    cards = definitions.join(sources, "source_id").select(card.alias("card_id"), "source_id", "observation_id", "name", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+    cards = definitions.join(sources.hint("merge"), "source_id").select(card.alias("card_id"), "source_id", "observation_id", "name", F.col("start_line").alias("start"), F.col("end_line").alias("end"))
     return sources, cards
 
 
