@@ -13,22 +13,18 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.matching import suffixes
 from lodestone.operators.ranking import top_rows
+from lodestone.sources import code as C
 from lodestone.sources import scopes as S
 
-AT = ["source_id", "scope", "scope_line", "root", "root_line", "column"]
 # What a lead is called by the rule that gave it.
 IMPORT_LATE, IMPORT_FOUND, IMPORT_GONE = "IMPORT_AFTER_CALL_REQUIRES_REVIEW", "DECLARED_IMPORT_CANDIDATE", "DECLARED_IMPORT_TARGET_NOT_IN_SNAPSHOT"
 SUPER_FOUND, SUPER_OPEN, SUPER_DEEP = "DECLARED_SINGLE_BASE_CANDIDATE_RUNTIME_MRO_UNRESOLVED", "SUPER_RUNTIME_MRO_UNRESOLVED", "SUPER_CONTEXT_DEPTH_LIMIT"
 NOT_CAPTURED, FREE = "CALL_ROOT_BINDING_NOT_CAPTURED_REINDEX_REQUIRED", "UNRESOLVED_OR_EXTERNAL"
 
 
-def bound_calls(sites: DataFrame, reads: DataFrame) -> DataFrame:
+def bound_calls(modules: DataFrame) -> DataFrame:
     """Call sites with the binding of their first name: by name and place, which must be one read."""
-    r = reads.withColumnsRenamed({"name": "root", "line": "root_line"})
-    site = [c for c in r.columns if c not in AT]
-    one = r.groupBy(*AT).agg(F.count("*").alias("n"), F.first(F.struct(*site)).alias("r")).where("n = 1").select(*AT, "r.*")
-    j = sites.join(one, AT, "left")
-    return j.withColumn("status", F.coalesce("status", F.lit(NOT_CAPTURED)))
+    return C.over(modules, S.bound_site_rows, [*S.SITES, *S.BOUND]).withColumn("status", F.coalesce("status", F.lit(NOT_CAPTURED)))
 
 
 def stem(path: Column) -> Column:
@@ -69,12 +65,8 @@ def dependency_context(modules: DataFrame, places: DataFrame, definitions: DataF
     """(source_id, scope, scope_line, call, line, status, candidates, target) of each call in each function of modules (source_id, code).
 
     places: source_id, namespace, path, cell; only sources of one namespace see one another, and a notebook's cell only itself."""
-    about = S.descriptions(modules).select("source_id", F.col("name").alias("scope"), F.col("line").alias("scope_line"), "enclosing_class", "first_parameter", "ancestors", "walk_cut", "super_shadowed")
-    alias = S.bindings(modules).where("kind IN ('import', 'from_import')").select("source_id", F.col("scope").alias("import_scope"), F.col("name").alias("root")).distinct()
-    c = bound_calls(S.call_sites(modules), S.reads(modules)).join(about, ["source_id", "scope", "scope_line"]).join(places, "source_id")
+    c = C.over(modules, S.call_context_rows, S.CALL_CONTEXT).join(places.hint("merge"), "source_id").withColumn("status", F.coalesce("status", F.lit(NOT_CAPTURED)))
     c = c.withColumn("call_id", F.xxhash64("source_id", "scope", "scope_line", "call", "line", "root_line", "column")).withColumn("parts", F.split("call", r"\."))
-    again = c.join(alias, ["source_id", "root"]).where("import_scope IN (scope, '<module>')").select("call_id").distinct().withColumn("aliased", F.lit(True))
-    c = c.join(again, "call_id", "left")
 
     one = F.col("status") == S.ONE
     up = F.startswith("call", F.lit("super()."))
@@ -87,28 +79,27 @@ def dependency_context(modules: DataFrame, places: DataFrame, definitions: DataF
     rule = F.when(up, "super").when(is_import & late, "late").when(is_import, "import").when(open_read, "open").when(local, "local").when(own, "own").when(F.col("aliased"), "aliased").when(F.col("status") == S.SEVERAL, "several").when(one, "bound").otherwise("free")
     c = c.withColumn("rule", F.coalesce(rule, F.lit("free")))
 
+    # names of the module itself are counted where it is parsed; what imports lead to is looked up by module key and name
+    rule = F.col("rule")
+    inside = lambda x: F.when(rule == "local", F.col(f"local_{x}")).when(rule == "own", F.col(f"own_{x}")).when((rule == "super") & walked, F.col(f"base_{x}"))
+    c = c.withColumn("inside", F.coalesce(inside("n"), F.lit(0))).withColumn("inside_target", F.concat_ws(":", "source_id", inside("name"))).withColumn("walked", walked)
+    targets = F.when(rule == "import", import_targets(F.col("path"), F.col("parts")))
+    # a call without an import target keeps its row, under a key of its own, so that such rows don't meet in one task
+    lone = F.array(F.struct(F.concat(F.lit("none:"), F.col("call_id").cast("string")).alias("key"), F.lit("").alias("name")))
+    c = c.withColumn("t", F.explode(F.when(F.size(targets) > 0, targets).otherwise(lone)))
+    c = c.select("call_id", "source_id", "scope", "scope_line", "call", "line", "rule", "status", "walked", "walk_cut", "inside", "inside_target", "namespace", "cell", F.col("t.key").alias("key"), F.col("t.name").alias("d_name"))
     d = definitions.select(F.col("source_id").alias("d_source"), F.col("name").alias("d_name"), F.col("definition_line").alias("d_line")).distinct()
-    here = d.withColumnsRenamed({"d_source": "source_id"})
-    lead = lambda df, place=0: df.select("call_id", F.lit(place).cast("int").alias("place") if isinstance(place, int) else place.alias("place"), F.struct("d_source", "d_name", "d_line").alias("d"))
-    keyed = d.join(places.withColumnsRenamed({"source_id": "d_source", "cell": "d_cell"}), "d_source").withColumn("key", F.explode(module_keys(F.col("path")))).select("namespace", "key", "d_source", "d_name", "d_line", "d_cell")
-    wanted = c.where("rule = 'import'").select("call_id", "source_id", "namespace", "cell", F.explode(import_targets(F.col("path"), F.col("parts"))).alias("t"))
-    by_import = wanted.select("call_id", "source_id", "namespace", "cell", F.col("t.key").alias("key"), F.col("t.name").alias("d_name")).join(keyed, ["namespace", "key", "d_name"]).where("source_id = d_source OR NOT (cell OR d_cell)")
-    name = F.when(F.col("site_scope_kind") == "module", F.col("root")).otherwise(F.concat_ws(".", "site_scope", "root"))
-    by_name = c.where("rule = 'local'").select("call_id", "source_id", name.alias("d_name"), F.col("site_line").alias("d_line")).join(here, ["source_id", "d_name", "d_line"])
-    member = F.concat_ws(".", "enclosing_class", F.array_join(F.slice("parts", 2, 1000), "."))
-    by_class = c.where("rule = 'own'").select("call_id", "source_id", member.alias("d_name")).join(here, ["source_id", "d_name"])
-    heirs = c.where((F.col("rule") == "super") & walked).select("call_id", "source_id", F.expr("substring(call, 9)").alias("m"), F.posexplode("ancestors").alias("place", "a"))
-    by_base = heirs.select("call_id", "source_id", "place", F.concat_ws(".", "a", "m").alias("d_name")).join(here, ["source_id", "d_name"])
-    rest = [lead(x.withColumn("d_source", F.col("source_id"))) for x in (by_name, by_class)]
-    found = lead(by_import).union(rest[0]).union(rest[1]).union(lead(by_base.withColumn("d_source", F.col("source_id")), F.col("place"))).distinct()
-    # of a line of bases the nearest counts
-    n = found.groupBy("call_id", "place").agg(F.count("*").alias("n"), F.min("d").alias("d")).groupBy("call_id").agg(F.min_by(F.struct("n", "d"), "place").alias("x"))
-
-    j = c.join(n, "call_id", "left").withColumn("candidates", F.coalesce("x.n", F.lit(0)))
+    keyed = d.join(places.withColumnsRenamed({"source_id": "d_source", "cell": "d_cell"}).hint("merge"), "d_source").withColumn("key", F.explode(module_keys(F.col("path")))).select("namespace", "key", "d_source", "d_name", "d_line", "d_cell")
+    seen = F.when((F.col("source_id") == F.col("d_source")) | ~(F.col("cell") | F.col("d_cell")), F.struct("d_source", "d_name", "d_line"))
+    kept = ["source_id", "scope", "scope_line", "call", "line", "rule", "status", "walked", "walk_cut", "inside", "inside_target"]
+    j = c.join(keyed.hint("merge"), ["namespace", "key", "d_name"], "left").withColumn("d", seen)
+    # a call has two targets at most, which may lead to one definition: the distinct ones count
+    j = j.groupBy("call_id", *kept, "d").agg(F.lit(1).alias("_")).groupBy("call_id", *kept).agg(F.count("d").alias("imported"), F.min("d").alias("d"))
+    j = j.withColumn("candidates", F.when(F.col("rule") == "import", F.col("imported")).otherwise(F.col("inside")))
     hit = F.col("candidates") > 0
     reason = (
         F.when(F.col("candidates") > 1, "AMBIGUOUS_CANDIDATES")
-        .when(F.col("rule") == "super", F.when(F.col("status") != S.FREE, F.col("status")).when(hit, SUPER_FOUND).when(walked & F.col("walk_cut"), SUPER_DEEP).otherwise(SUPER_OPEN))
+        .when(F.col("rule") == "super", F.when(F.col("status") != S.FREE, F.col("status")).when(hit, SUPER_FOUND).when(F.col("walked") & F.col("walk_cut"), SUPER_DEEP).otherwise(SUPER_OPEN))
         .when(F.col("rule") == "late", IMPORT_LATE)
         .when(F.col("rule") == "import", F.when(hit, IMPORT_FOUND).otherwise(IMPORT_GONE))
         .when(F.col("rule").isin("open", "several"), F.col("status"))
@@ -118,14 +109,14 @@ def dependency_context(modules: DataFrame, places: DataFrame, definitions: DataF
         .when(F.col("rule") == "bound", "LOCAL_OR_PARAMETER_BINDING_UNRESOLVED")
         .otherwise(FREE)
     )
-    target = F.when(F.col("candidates") == 1, F.concat_ws(":", "x.d.d_source", "x.d.d_name"))
+    target = F.when(F.col("candidates") == 1, F.when(F.col("rule") == "import", F.concat_ws(":", "d.d_source", "d.d_name")).otherwise(F.col("inside_target")))
     return j.select("source_id", "scope", "scope_line", "call", "line", reason.alias("status"), "candidates", target.alias("target"))
 
 
 def declared_apis(modules: DataFrame) -> DataFrame:
     """(source_id, scope, api, line, import_line): the full names that calls have by their imports; an import at or after the call in its
     own scope is no evidence for it."""
-    c = bound_calls(S.call_sites(modules), S.reads(modules)).where(F.col("site_kind").isin("import", "from_import") & (F.col("status") == S.ONE) & (F.coalesce("symbol", F.lit("")) != "*"))
+    c = bound_calls(modules).where(F.col("site_kind").isin("import", "from_import") & (F.col("status") == S.ONE) & (F.coalesce("symbol", F.lit("")) != "*"))
     c = c.where(~((F.col("site_scope") == F.col("scope")) & (F.col("site_line") >= F.col("line"))) & ~F.startswith("call", F.lit("super().")))
     rest = F.slice(F.split("call", r"\."), 2, 1000)
     plain = (F.col("site_kind") == "import") & (F.col("root") == F.split_part("module", F.lit("."), F.lit(1)))
@@ -138,11 +129,8 @@ def context_trails(modules: DataFrame, places: DataFrame, definitions: DataFrame
     definitions of the same namespace with exactly that module and name; a scope has `most` at most, the rest follow from its calls."""
     dotted = F.regexp_replace(F.translate(F.regexp_replace("path", r"\.py$", ""), "/", "."), r"\.__init__$", "")
     place = places.where("endswith(path, '.py')").select("source_id", "namespace", dotted.alias("module_name"), F.endswith("path", F.lit("__init__.py")).alias("is_package"))
-    c = S.call_sites(modules).where("NOT startswith(call, 'super().')").join(place, "source_id")
-    bound = S.bindings(modules)
-    local = bound.where("kind NOT IN ('import', 'from_import')").select("source_id", "scope", F.col("name").alias("root")).distinct()
-    imports = bound.where("scope = '<module>' AND kind IN ('import', 'from_import')").groupBy("source_id", F.col("name").alias("root")).agg(F.max_by(F.struct("module", "symbol", "level"), "line").alias("i"))
-    c = c.join(local, ["source_id", "scope", "root"], "left_anti").join(imports, ["source_id", "root"], "left")
+    c = C.over(modules, S.trail_rows, S.TRAILS).withColumn("i", F.when(F.col("imported"), F.struct("module", "symbol", "level"))).drop("imported", "module", "symbol", "level")
+    c = c.join(place.hint("merge"), "source_id")
     tail = F.when(F.contains("call", F.lit(".")), F.regexp_replace("call", r"^[^.]*\.", ""))
     own = F.split("module_name", r"\.")
     package = F.when(F.col("is_package"), own).otherwise(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))))
@@ -152,8 +140,8 @@ def context_trails(modules: DataFrame, places: DataFrame, definitions: DataFrame
     module = F.when(F.col("i").isNull(), F.col("module_name")).when(up > 0, F.when(up - 1 <= F.size(package), named)).otherwise(F.col("i.module"))
     symbol = F.when(F.col("i").isNull(), F.when(tail.isNull(), F.col("call"))).when(F.col("i.symbol").isNotNull(), F.concat_ws(".", "i.symbol", tail)).otherwise(tail)
     c = c.withColumn("module_name", module).withColumn("name", symbol).where("module_name IS NOT NULL AND name IS NOT NULL")
-    d = definitions.select(F.col("source_id").alias("d_source"), "name").distinct().join(place.select(F.col("source_id").alias("d_source"), "namespace", "module_name"), "d_source")
-    found = c.join(d, ["namespace", "module_name", "name"]).groupBy("source_id", "scope", "call", "line").agg(F.array_sort(F.collect_set(F.concat_ws(":", "d_source", "name"))).alias("targets"))
+    d = definitions.select(F.col("source_id").alias("d_source"), "name").distinct().join(place.select(F.col("source_id").alias("d_source"), "namespace", "module_name").hint("merge"), "d_source")
+    found = c.join(d.hint("merge"), ["namespace", "module_name", "name"]).groupBy("source_id", "scope", "call", "line").agg(F.array_sort(F.collect_set(F.concat_ws(":", "d_source", "name"))).alias("targets"))
     top = top_rows(found, ["source_id", "scope"], [F.col("line"), F.col("call")], most)
     status = F.when(F.size("targets") > 1, "AMBIGUOUS_CONTEXT_TARGET").otherwise("LEXICAL_CONTEXT_CANDIDATE_NOT_RUNTIME_EDGE")
     return top.select("source_id", "scope", "call", "line", status.alias("status"), "targets")

@@ -21,3 +21,13 @@ def test_modules_of_one_file_are_dealt(spark):
 def test_parsing_follows_a_deal(spark, name):
     p = plan(registry.QUERIES[name](spark, SF))
     assert "REPARTITION_BY_NUM" in p[p.index("MapInArrow") :]
+
+
+@pytest.mark.parametrize("name", ["call_bindings", "dependency_context", "context_trails", "document_links", "linked_sections", "declared_apis", "catalog_cards", "relative_imports"])
+def test_tables_of_modules_are_not_broadcast(spark, name):
+    assert "Broadcast" not in plan(registry.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize(("name", "times"), [("call_bindings", 1), ("declared_apis", 1), ("dependency_context", 2), ("context_trails", 2), ("document_links", 2), ("source_scopes", 1), ("record_kinds", 2)])
+def test_modules_are_parsed_once_for_each_side(spark, name, times):
+    assert plan(registry.QUERIES[name](spark, SF)).count("MapInArrow") == times
