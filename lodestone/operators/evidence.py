@@ -112,9 +112,17 @@ def requirement_verdicts(requirements: DataFrame, candidates: DataFrame, states:
     return g.select("candidate", F.when(F.col("_bad"), "CONTRADICTED").when(F.col("_unknown"), "NEEDS_EVIDENCE").otherwise("READY_FOR_INTEGRATION_REVIEW").alias("verdict"), "open")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded on its scaled binary value, half away from zero, as SQL engines in C do; F.round() rounds its decimal text."""
+    y = F.abs(x) * 10.0**digits
+    whole = F.floor(y).cast("double")
+    return F.when(F.isnan(x) | (y >= 1e15), x).otherwise(F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits)
+
+
 def measured_value(rows: DataFrame, direction: Column, threshold: Column) -> DataFrame:
-    """rows (baseline, candidate, regressions, checks_passed) with a verdict; the first reason wins."""
-    change = F.when(direction == "higher", F.col("candidate") - F.col("baseline")).otherwise(F.col("baseline") - F.col("candidate"))
+    """rows (baseline, candidate, regressions, checks_passed) with a verdict and the change to six digits, which is what meets the
+    threshold: the last bits of a difference of means decide nothing. The first reason wins."""
+    change = rounded(F.when(direction == "higher", F.col("candidate") - F.col("baseline")).otherwise(F.col("baseline") - F.col("candidate")), 6)
     verdict = (
         F.when(~F.coalesce("checks_passed", F.lit(False)), "REQUIRED_CHECKS_OR_CASES_MISSING")
         .when(F.coalesce("regressions", F.lit(1)) != 0, "REQUIRED_REGRESSION_OR_MISSING_EVIDENCE")

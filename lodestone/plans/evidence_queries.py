@@ -244,9 +244,8 @@ def measured_values(spark, sf_dir):
     """Parts: mean quantity of open lines (candidate) against closed ones (baseline)."""
     mean = lambda s: F.avg(F.when(F.col("l_linestatus") == s, F.col("l_quantity")))
     g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("ps")).agg((F.count("*") >= 20).alias("checks_passed"), F.greatest(F.sum((F.col("l_returnflag") == "R").cast("long")) - 12, F.lit(0)).alias("regressions"), mean("F").alias("baseline"), mean("O").alias("candidate")).where("baseline IS NOT NULL AND candidate IS NOT NULL")
-    g = g.withColumn("baseline", F.round("baseline", 9)).withColumn("candidate", F.round("candidate", 9))
     v = evidence.measured_value(g, F.lit("higher"), F.lit(0.5))
-    return v.select("ps", "verdict", F.round("change", 6).alias("change"))
+    return v.select("ps", "verdict", "change")
 
 
 @query("inferred_patterns", "SELECT p_partkey, CASE WHEN list_has_any(w, ['identity', 'id', 'provenance']) THEN 'identity_loss' WHEN list_has_any(w, ['verification', 'evidence', 'integrity', 'accuracy', 'verdict']) THEN 'verification_gap' WHEN list_has_any(w, ['unit', 'units', 'format', 'schema']) THEN 'format_gap' WHEN list_has_any(w, ['restore', 'recovery', 'startup']) THEN 'recovery_gap' ELSE 'information_gap' END AS pattern FROM (SELECT p_partkey, regexp_extract_all(lower(['unit ', 'record id ', 'recovery ', 'verdict ', ''][(p_partkey % 5 + 1)::INT] || p_name), '[a-z]+') AS w FROM part)")

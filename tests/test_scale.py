@@ -31,3 +31,16 @@ def test_tables_of_modules_are_not_broadcast(spark, name):
 @pytest.mark.parametrize(("name", "times"), [("call_bindings", 1), ("declared_apis", 1), ("dependency_context", 2), ("context_trails", 2), ("document_links", 2), ("source_scopes", 1), ("record_kinds", 2)])
 def test_modules_are_parsed_once_for_each_side(spark, name, times):
     assert plan(registry.QUERIES[name](spark, SF)).count("MapInArrow") == times
+
+
+def test_a_change_of_exactly_the_threshold(spark, tmp_path):
+    """13/6 - 5/3 is a half; taken from means of nine digits it was less."""
+    import duckdb
+
+    lines = [("F", q) for q in (1, 2, 2) * 3] + [("O", q) for q in (2, 2, 2, 2, 2, 3) * 2]
+    df = spark.createDataFrame([(1, float(q), s, "N") for s, q in lines], "l_partkey long, l_quantity double, l_linestatus string, l_returnflag string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = registry.QUERIES["measured_values"](spark, str(tmp_path)).select("ps", "verdict", "change").collect()
+    assert [tuple(r) for r in got] == con.execute(f"SELECT ps, verdict, change FROM ({registry.SQL['measured_values']})").fetchall()
