@@ -145,15 +145,16 @@ def add_feedback(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFram
 def topological_levels(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, level): 0 for nodes that depend on nothing, else one more than their highest dependency; null: on a cycle or behind one.
 
-    edges: node, needs. Each round settles the nodes whose dependencies are all settled; as many rounds as there are levels."""
+    edges: node, needs. Each round settles the nodes whose dependencies are all settled; as many rounds as there are levels. Edges and
+    counts are kept and joined by merge: by Spark's estimate of their size they would be broadcast in every round."""
     from lodestone.operators.ranking import cut
 
-    e = edges.select("node", "needs").distinct()
-    want = e.groupBy("node").agg(F.count("*").alias("n"))
+    e = cut(edges.select("node", "needs").distinct()).hint("merge")
+    want = cut(e.groupBy("node").agg(F.count("*").alias("n"))).hint("merge")
     done = cut(nodes.select("node").join(want, "node", "left_anti").withColumn("level", F.lit(0)))
     for level in range(1, most_rounds + 1):
         ready = e.join(done.select(F.col("node").alias("needs")), "needs").groupBy("node").agg(F.count("*").alias("have"))
-        fresh = ready.join(want, "node").where("have = n").join(done, "node", "left_anti").select("node", F.lit(level).alias("level"))
+        fresh = ready.join(want, "node").where("have = n").join(done.hint("merge"), "node", "left_anti").select("node", F.lit(level).alias("level"))
         fresh = cut(fresh)
         if fresh.isEmpty():
             break

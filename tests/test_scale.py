@@ -44,3 +44,12 @@ def test_a_change_of_exactly_the_threshold(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     got = registry.QUERIES["measured_values"](spark, str(tmp_path)).select("ps", "verdict", "change").collect()
     assert [tuple(r) for r in got] == con.execute(f"SELECT ps, verdict, change FROM ({registry.SQL['measured_values']})").fetchall()
+
+
+def test_levels_broadcast_nothing(spark, monkeypatch):
+    from lodestone.operators import ranking
+
+    plans, cut = [], ranking.cut
+    monkeypatch.setattr(ranking, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    assert registry.QUERIES["task_levels"](spark, SF).count() == 200
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
