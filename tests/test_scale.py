@@ -53,3 +53,24 @@ def test_levels_broadcast_nothing(spark, monkeypatch):
     monkeypatch.setattr(ranking, "cut", lambda df: plans.append(plan(df)) or cut(df))
     assert registry.QUERIES["task_levels"](spark, SF).count() == 200
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_words_are_counted_inside_rows(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import text as T
+    from lodestone.operators import retrieval
+    from lodestone.plans import text_queries as Q
+
+    rows = Q.search_rows(spark, SF)
+    assert "Aggregate" not in plan(retrieval.profiles(rows, Q.FIELDS, retrieval.query_terms(spark, Q.WANTED)))
+    # the same as counting over all rows, with no words, many tokens, ties, and rows that share a key
+    texts = [(1, "b a b c a b"), (2, ""), (3, None), (4, "x y"), (4, "y z"), (5, " ".join(f"w{i % 300}" for i in range(1000))), (6, "q " * 150), (None, "n m"), (None, "m")]
+    df = spark.createDataFrame(texts, "id long, text string").select("id", T.identifier_words("text").alias("w"))
+    for most, cap in ((256, 100), (2, 2)):
+        want = sorted(map(str, T.merged_counts(df, ["id"], "w", most, cap).collect()))
+        assert sorted(map(str, T.bounded_counts(df, ["id"], "w", most, cap).collect())) == want
+    fields = {"symbol": "s", "documentation": "t"}
+    twice = spark.createDataFrame([(1, "g", "a", "x x"), (1, "g", "b", "x"), (2, "h", "a", "z")], "row_id long, group_id string, s string, t string")
+    got = retrieval.features(twice, fields).select("row_id", "field", F.explode("counts").alias("x")).select("row_id", "field", "x.token", "x.n")
+    assert ("1", "documentation", "x", "3") in {tuple(map(str, r)) for r in got.collect()} and got.count() == 2 + 1
